@@ -27,6 +27,9 @@ NEAREST = 8
 SHARED = 2
 LIST = 256
 MAX_DIMENSIONS = 64
+#: Vectors looked at for each pivot wanted, and the likeness above which two pivots would describe the same place: in a
+#: crowd of near-copies many tied pivots would make the order of the nearest ones arbitrary.
+SAMPLE, APART = 4, 0.8
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -47,14 +50,21 @@ def _classes(vectors: DataFrame) -> DataFrame:
 
 
 def _fit(classes: DataFrame, pivots: int) -> dict[int, np.ndarray]:
-    """Unit pivots of each dimension: the vectors of least hash, a bounded sample that reruns agree on."""
+    """Unit pivots of each dimension, chosen one by one from a bounded sample (the vectors of least hash, so reruns
+    agree) where they are no nearer than APART to those chosen before."""
     dims = [r[0] for r in classes.select(F.size("embedding")).distinct().limit(MAX_DIMENSIONS + 1).collect()]
     if len(dims) > MAX_DIMENSIONS:
         raise ValueError(f"vectors of more than {MAX_DIMENSIONS} different lengths")
     out = {}
     for d in dims:
-        some = classes.where(F.size("embedding") == d).select("embedding").orderBy(F.xxhash64("embedding"), "node").limit(pivots)
-        out[d] = _unit(np.array([r[0] for r in some.collect()], np.float64))
+        some = classes.where(F.size("embedding") == d).select("embedding").orderBy(F.xxhash64("embedding"), "node").limit(SAMPLE * pivots)
+        sample = _unit(np.array([r[0] for r in some.collect()], np.float64))
+        chosen = np.empty((pivots, d))
+        n = 0
+        for v in sample:
+            if n < pivots and (n == 0 or (chosen[:n] @ v).max() < APART):
+                chosen[n], n = v, n + 1
+        out[d] = chosen[:n].copy()
     return out
 
 
