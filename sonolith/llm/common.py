@@ -50,6 +50,16 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a table made on the driver (one a source) up to which it is broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of driver rows for a join; its size is known, so the other side need not be shuffled by a hot key."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate value once and use it many times inside body (Catalyst would inline a plain alias into lambdas)."""
     return F.transform(F.array(value), body)[0]

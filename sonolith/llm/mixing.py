@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, materialise, partitions
+from .common import WORD, materialise, partitions, small_side
 
 SHARE = 1.5
 CAP = 2
@@ -56,7 +56,7 @@ def fill(sizes: list[float], weights: list[float], total: float, cap: float) ->
 
 def _by_source(df: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
     """Inner null-safe join of df with one small row for each of its sources."""
-    small = df.sparkSession.createDataFrame(rows, f"_source string, {columns}")
+    small = small_side(df.sparkSession, rows, f"_source string, {columns}")
     return df.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, partitions, small_side
 from .tokens import default_tokenizer, tokenizer
 
 WINDOW = 2048
@@ -195,11 +195,12 @@ def pack(docs: DataFrame, path: str | None = None, weights: dict[str | None, int
         rates[q] = (weights or {}).get(r["source"], 0)
     schedule = plan(totals, rates if weights else None)
     small = [(r["source"], q, math.isqrt(counts[q] - 1) + 1) for r, q in zip(told, place)]
-    small = docs.sparkSession.createDataFrame(small, "_source string, queue int, blocks long")
+    small = small_side(docs.sparkSession, small, "_source string, queue int, blocks long")
     placed = rows.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))).drop("blocks")
     sums = placed.groupBy("queue", "block").agg(F.sum("n").alias("tokens"))
     base = sums.select("queue", "block", (F.sum("tokens").over(Window.partitionBy("queue").orderBy("block")) - F.col("tokens")).alias("base"))
+    base = base.repartition(partitions(docs), "queue", "block")  # else the join would deal the ids anew, by queue alone
     within = Window.partitionBy("queue", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.withColumn("at", F.coalesce(F.sum("n").over(within), F.lit(0)))
     starts = starts.join(base, ["queue", "block"]).withColumn("at", F.col("at") + F.col("base"))
