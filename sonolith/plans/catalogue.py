@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import literal, scores
 from ..operators import dedupe, signal, similarity
@@ -393,7 +394,7 @@ def seq_ratio(spark, sf_dir):
     return titles.join(after, "doc_id").select("doc_id", ratio("title", "other").alias("ratio"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness of two texts by their longest common blocks."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
