@@ -25,7 +25,6 @@ from .common import materialise
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_GROUP, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 6, 20, 24, 20
-MAX_TESTED = 512  # characters of a token that tests read; the span covers all of it
 FALSE_SHARE = 0.01
 RANDOM_P = 0.01
 STEP = 0.25  # of -log10 p in the counts
@@ -68,7 +67,7 @@ def battery(token: str) -> tuple[str, float, float, float, float] | None:
         return None
     if name == "base32" and not seen & set("234567") or seen.isdisjoint(string.digits) and len(token) < 32:
         return None  # words
-    v = np.array([place[c] for c in token[:MAX_TESTED]], float)
+    v = np.array([place[c] for c in token], float)
     n, k = len(v), len(place)
     counts = np.bincount(v.astype(int), minlength=k)
     x = float(((counts - n / k) ** 2).sum() * k / n)

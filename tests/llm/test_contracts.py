@@ -446,3 +446,10 @@ def test_fingerprint_links_lose_nothing(spark, monkeypatch, hot):
             break
         label = new
     assert [got[s] for s in signed] == label
+
+
+def test_battery_reads_whole_tokens():
+    rng = np.random.default_rng(5)
+    noise = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 4096))
+    assert min(secrets.battery(noise)[1:4]) >= secrets.RANDOM_P
+    assert min(secrets.battery(noise + "a" * 4096)[1:4]) < secrets.RANDOM_P  # ordinary only after a long random start
