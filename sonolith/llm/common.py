@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,6 +67,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Rows of an Arrow batch that a Python worker unpacks at a time.
+PIECE_ROWS = 500
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in small slices (views, no copies), so that unpacked texts and results of few rows are held."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+_claimed: list[tuple[object, Callable[[], None]]] = []
+
+
+def claim_memory(owner: object, forget: Callable[[], None]) -> None:
+    """Called when a task starts in a Python worker: caches that another owner left there in earlier tasks are dropped
+    (workers are reused), so that a chain of operators needs as much memory as its largest one."""
+    if _claimed and _claimed[0][0] is owner:
+        return
+    while _claimed:
+        _claimed.pop()[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+    _claimed.append((owner, forget))
+
+
 def runs(*keys: np.ndarray) -> np.ndarray:
     """Start offsets, with the total length last, of runs of equal rows in sorted key columns."""
     n = len(keys[0])

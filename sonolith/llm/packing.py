@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, small_side
+from .common import materialise, partitions, pieces, small_side
 from .tokens import default_tokenizer, tokenizer
 
 WINDOW = 2048
@@ -161,7 +161,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         tok = tokenizer(path)
         narrow = len(tok.vocab) + len(tok.special) < 1 << 16
         close = end_id.to_bytes(4, "little")
-        for b in batches:
+        for b in pieces(batches):
             ids = [tok.ids(t.as_py() or "") + close for t in b.column("text")]
             n = [len(x) // 4 for x in ids]
             if narrow:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim_memory, pieces
+
 LIMIT_TOKENS = 2048
 CACHE_CHUNKS = 500_000
 _SAFE_END = 0x250  # below it no normal form, no combining mark and no one-to-many lower case but U+0130
@@ -123,6 +125,10 @@ class ChunkTokenizer:
                 (cache if len(c) < 64 else long)[c] = self._chunk(c)
         return long
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.merged.clear()
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
         chunks = self.chunks(text)
@@ -147,10 +153,16 @@ def _byte_letters() -> dict[str, int]:
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str) -> ChunkTokenizer:
+def _loaded(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+def tokenizer(path: str) -> ChunkTokenizer:
+    tok = _loaded(path)
+    claim_memory(tok, tok.forget)
+    return tok
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT_TOKENS) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every document; one pass, no shuffle.
 
@@ -161,7 +173,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT_TO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        for b in batches:
+        for b in pieces(batches):
             counts = [tok.count(t.as_py()) if t.is_valid else 0 for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim_memory, pieces
+
 #: Bounds of the training sample: documents (by least hash of their id), characters of one, and words kept.
 FIT_DOCS, FIT_CHARS, FIT_WORDS = 4000, 20_000, 20_000
 WINDOW, STRIDE = 64, 32
 HIDDEN, WORD_DIM, CHAR_DIM, BIGRAMS = 8, 8, 8, 1024
 THRESHOLD = 0.3
-CACHE_WORDS, GROUP_WORDS = 300_000, 50_000
+CACHE_WORDS, GROUP_WORDS = 100_000, 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -70,6 +72,9 @@ class Network:
     def __getstate__(self):
         return {"words": self.words, "p": self.p, "prior": self.prior, "rows": {}, "gates": None}
 
+    def forget(self) -> None:
+        self.rows, self.gates = {}, None
+
     def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         return self.vectors(np.array([self.words.get(w, 0) for w in words]), *bigrams(words))
 
@@ -347,7 +352,8 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in batches:
+        claim_memory(own, own.forget)
+        for b in pieces(batches):
             found = own.scores([t.as_py() or "" for t in b.column("text")])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, "score"])
 
