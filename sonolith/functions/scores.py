@@ -65,7 +65,8 @@ def polynomial(cp_: str, fm_: str) -> str:
 
 def blend(a: str, b: str) -> str:
     """The score; 0 outside the gate."""
-    return f"IF({gate(a + '.songlen', b + '.songlen')}, {polynomial(cp(a + '.cprint', b + '.cprint'), fm(a, b))}, 0D)"
+    once = f"transform(array({cp(a + '.cprint', b + '.cprint')}), share -> {polynomial('share', fm(a, b))})[0]"  # the share of low bits enters four times
+    return f"IF({gate(a + '.songlen', b + '.songlen')}, {once}, 0D)"
 
 
 def whole_hamming(a: str, b: str) -> str:

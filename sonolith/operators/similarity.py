@@ -23,8 +23,7 @@ def band_plan(share: float) -> tuple[int, int]:
 
 
 def _keys(fp: DataFrame, width: int, shortest: int) -> DataFrame:
-    lows = "transform(cprint, x -> x & -x)"
-    bands = f"transform(sequence(0, CAST(floor(size(cprint) / {width}) AS INT) - 1), b -> named_struct('no', b, 'key', xxhash64(slice({lows}, b * {width} + 1, {width}))))"
+    bands = f"transform(sequence(0, CAST(floor(size(cprint) / {width}) AS INT) - 1), b -> named_struct('no', b, 'key', xxhash64(transform(slice(cprint, b * {width} + 1, {width}), x -> x & -x))))"
     return fp.where(f"size(cprint) >= {shortest}").select("soid", "songlen", F.size("cprint").alias("n"), F.explode(F.expr(bands)).alias("band")).select("soid", "songlen", "n", "band.no", "band.key")
 
 
@@ -51,8 +50,8 @@ def with_prints(pairs: DataFrame, fp: DataFrame) -> DataFrame:
 
 def similarity_join(fp: DataFrame, score: float = MATCH_SCORE, share: float = MATCH_CP) -> DataFrame:
     """(a, b, score) of all pairs a < b whose blended score exceeds `score`. share must bound it (see schema)."""
-    scored = with_prints(candidate_pairs(fp, share), fp).select("a", "b", F.expr(scores.blend("fa", "fb")).alias("score"))
-    return scored.where(F.col("score") > score)
+    one = F.array(F.expr(scores.blend("fa", "fb")))  # a filter above a projection would score every pair twice
+    return with_prints(candidate_pairs(fp, share), fp).select("a", "b", F.explode(F.filter(one, lambda s: s > score)).alias("score"))
 
 
 def all_pairs_results(fp: DataFrame, cp: float = 0.72, fm: float = 0.72) -> DataFrame:
