@@ -16,41 +16,52 @@ from .common import materialise, partitions
 RATIO = 0.05
 MIN_SITE_PAGES = 20
 MIN_LINE_PAGES = 3
+#: A line of more words than this counts as a passage; the pipeline's stage drops it from MIN_LINE_PAGES pages of a site on.
+LONG_WORDS = 20
 #: Boilerplate hashes (8 bytes each, grouped by site) up to which their table is broadcast; beyond it a salted join.
 BROADCAST_LINES = 500_000
 SALT = 64
 
 
-def _line_key(line: Column) -> Column:
-    """Hash of a line without white space at its ends; null for a blank line, which is structure and never counted."""
+def _line_key(line: Column, long_words: int | None = None) -> Column:
+    """Hash of a line without white space at its ends; null for a blank line, which is structure and never counted.
+    With long_words, the lowest bit tells lines of more words."""
     bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(bare != "", F.xxhash64(bare))
+    if long_words is None:
+        return F.when(bare != "", F.xxhash64(bare))
+    many = (F.length(bare) > 2 * long_words) & (F.size(F.split(bare, r"[\x20\x09-\x0D]+")) > long_words)
+    return F.when(bare != "", F.xxhash64(bare).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(many, 1).otherwise(0).cast("long")))
 
 
-def boilerplate(docs: DataFrame, site: str, text: str, ratio: float, min_site_pages: int, min_line_pages: int) -> DataFrame:
-    """(site, line long) of the lines that are on more than `ratio` of their site's pages."""
-    keys = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), _line_key), lambda k: k.isNotNull()))
+def boilerplate(docs: DataFrame, site: str, text: str, ratio: float, min_site_pages: int, min_line_pages: int, long_words: int | None = None) -> DataFrame:
+    """(site, line long) of the lines that are on more than `ratio` of their site's pages, or longer than long_words."""
+    keys = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), lambda line: _line_key(line, long_words)), lambda k: k.isNotNull()))
     # one row per page stands for the page itself: line is null there
     rows = docs.select(F.col(site).alias("site"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(keys, F.array().cast("array<bigint>")))).alias("line"))
     counts = materialise(rows.groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("line").isNull() | (F.col("n") >= min_line_pages)), "lines")
     pages = counts.where("line IS NULL").select(F.col("site").alias("s"), F.col("n").alias("pages"))
     lines = counts.where("line IS NOT NULL")
     held = lines.join(pages, F.col("site").eqNullSafe(F.col("s")))
-    return held.where((F.col("pages") >= min_site_pages) & (F.col("n") > F.col("pages") * ratio)).select("site", "line")
+    often = F.col("n") > F.col("pages") * ratio
+    if long_words is not None:
+        often |= F.col("line").bitwiseAND(F.lit(1)) == 1
+    return held.where((F.col("pages") >= min_site_pages) & often).select("site", "line")
 
 
 def dedup_lines(
     docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO,
     min_site_pages: int = MIN_SITE_PAGES, min_line_pages: int = MIN_LINE_PAGES,
+    long_words: int | None = None,
 ) -> DataFrame:
     """docs with `text` cleaned and two columns more, n_lines and n_dropped (int); every row of docs stays.
 
     Lines end at '\\n' and compare without white space at their ends; blank lines always stay. Null texts stay null
     with 0 lines, empty texts stay empty with 1 line. A null site is a site of its own. Repeated rows count as pages.
-    Sites under min_site_pages and lines on fewer than min_line_pages pages lose nothing. Columns of docs named
+    Sites under min_site_pages and lines on fewer than min_line_pages pages lose nothing. With long_words,
+    lines of more words go from min_line_pages pages on, whatever their share of the site. Columns of docs named
     n_lines or n_dropped are replaced.
     """
-    bad = materialise(boilerplate(docs, site, text, ratio, min_site_pages, min_line_pages), "boilerplate")
+    bad = materialise(boilerplate(docs, site, text, ratio, min_site_pages, min_line_pages, long_words), "boilerplate")
     n_bad = bad.count()
     by_site = bad.groupBy(F.col("site").alias("_site")).agg(F.sort_array(F.collect_set("line")).alias("_bad"))
     if n_bad <= BROADCAST_LINES:
@@ -61,7 +72,7 @@ def dedup_lines(
         copies = copies.repartition(partitions(docs), "_site", "_salt2")
         joined = salted.join(copies, F.col(site).eqNullSafe(F.col("_site")) & (F.col("_salt") == F.col("_salt2")), "left")
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda line: F.coalesce(~F.array_contains("_bad", _line_key(line)), F.lit(True)))
+    kept = F.filter(lines, lambda line: F.coalesce(~F.array_contains("_bad", _line_key(line, long_words)), F.lit(True)))
     out = joined.withColumn("_kept", F.when(F.col("_bad").isNull(), lines).otherwise(kept))
     n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines))
     out = out.withColumns({"n_lines": n_lines, "n_dropped": n_lines - F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_kept"))})
