@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import literal, scores
-from ..operators import dedupe, signal, similarity
+from ..operators import alignment, dedupe, signal, similarity
 from ..schema import FIELDS
 from ..sources import files
 
@@ -43,9 +43,14 @@ fp AS (SELECT doc_id AS soid, n_chars AS songlen, 64 + 64 * (doc_id % 5) AS bit_
   list_transform(m, lambda t: ('0x' || substr(t, 1, 8))::BIGINT) AS cprint FROM tok)"""
 
 
-def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints derived from documents: soid, the six fields, lang, source."""
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "n_chars", "lang", "source", "transform(slice(split(lower(text), ' '), 1, 948), t -> md5(t)) AS m")
+#: Prints of all words of a text.
+WHOLE = PRINTS.replace("list_slice(string_split(lower(text), ' '), 1, 948)", "string_split(lower(text), ' ')")
+
+
+def prints(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Fingerprints derived from documents: soid, the six fields, lang, source; of the first 948 words or the whole text."""
+    words = "split(lower(text), ' ')" if whole else "slice(split(lower(text), ' '), 1, 948)"
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "n_chars", "lang", "source", f"transform({words}, t -> md5(t)) AS m")
     word = lambda t, at, n: f"CAST(conv(substr({t}, {at}, {n}), 16, 10) AS BIGINT)"
     return docs.selectExpr(
         "doc_id AS soid", "n_chars AS songlen", "64 + 64 * (doc_id % 5) AS bit_rate", "doc_id % 4 AS num_errors", "lang", "source",
@@ -54,9 +59,9 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def neighbours(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Each print with the one of the next id: a, b and structs fa, fb. An equi-join."""
-    fp = prints(spark, sf_dir).select("soid", F.struct(*FIELDS).alias("fp"))
+    fp = prints(spark, sf_dir, whole).select("soid", F.struct(*FIELDS).alias("fp"))
     right = fp.select(F.col("soid").alias("b"), (F.col("soid") - 1).alias("a"), F.col("fp").alias("fb"))
     return fp.select(F.col("soid").alias("a"), F.col("fp").alias("fa")).join(right, "a")
 
@@ -264,6 +269,13 @@ def alignment_topcount(spark, sf_dir):
     return counts.groupBy("a", "b").agg(F.round(F.max("hits") / F.max("n").cast("double"), 9).alias("score"))
 
 
+@query()
+def alignment_whole(spark, sf_dir):
+    """As alignment_topcount, over whole prints of whole texts."""
+    pairs = neighbours(spark, sf_dir, whole=True).selectExpr("a", "b", "fa.cprint AS x", "fb.cprint AS y")
+    return alignment.aligned(pairs).select("a", "b", F.round("score", 9).alias("score"))
+
+
 @query(PRINTS + " SELECT soid, len(k) AS n, coalesce(list_sum(k), 0)::BIGINT AS word_sum FROM (SELECT soid, list_slice(cprint, CASE WHEN len(cprint) >= 944 THEN 705 WHEN len(cprint) >= 704 THEN 465 ELSE 1 END, CASE WHEN len(cprint) >= 944 THEN 944 WHEN len(cprint) >= 704 THEN 704 ELSE 240 END) AS k FROM fp)")
 def key_window(spark, sf_dir):
     return prints(spark, sf_dir).selectExpr("soid", f"{scores.key_window('cprint')} AS k").selectExpr("soid", "CAST(size(k) AS BIGINT) AS n", f"{scores.total('k')} AS word_sum")
