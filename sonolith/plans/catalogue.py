@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import literal, scores
-from ..operators import alignment, dedupe, signal, similarity
+from ..operators import alignment, confusion, dedupe, signal, similarity
 from ..schema import FIELDS
 from ..sources import files
 
@@ -375,6 +375,14 @@ def confusion_eval(spark, sf_dir):
     return rows.groupBy("same").agg(F.count("*").alias("pairs"), F.sum(F.when(F.col("d") < 0.1, 1).otherwise(0)).alias("near"))
 
 
+@query("""WITH t AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1)::BIGINT - 1 AS component FROM embeddings),
+p AS (SELECT x.component, x.label = y.label AS same, abs(x.v - y.v) AS d FROM t x JOIN t y ON x.component = y.component AND x.vec_id < y.vec_id)
+SELECT component, same, count(*) AS pairs, sum(CASE WHEN d < 0.1::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS near FROM p GROUP BY component, same""")
+def confusion_all_pairs(spark, sf_dir):
+    """As confusion_eval, over all pairs and every component."""
+    return confusion.all_pairs(table(spark, sf_dir, "embeddings"))
+
+
 @query("SELECT lang, source, count(*) AS n, min(doc_id) AS base, list_sort(list(doc_id))[1:3]::VARCHAR AS variants FROM documents GROUP BY lang, source")
 def group_variants_report(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").groupBy("lang", "source")

@@ -33,3 +33,17 @@ def test_alignment_of_whole_prints(spark, tmp_path):
     path = some_documents(spark, tmp_path, [(i, f"{h} {tail}", "en", "s", 1) for i, h in enumerate(head)])
     (row,) = catalogue.alignment_whole(spark, path).collect()
     assert 0.5 <= row["score"] < 0.52 and catalogue.alignment_topcount(spark, path).head()["score"] < 0.1
+
+
+def test_confusion_counts_all_pairs(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(4)), [float(x) for x in rng.normal(0, 0.2, 3)]) for i in range(1050)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    label, v = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.float32).astype(float)
+    upper = np.triu(np.ones((1050, 1050), bool), 1)
+    same = label[:, None] == label[None, :]
+    want = set()
+    for c in range(3):
+        close = np.abs(v[:, None, c] - v[None, :, c]) < 0.1
+        want |= {(c, s, int((upper & (same == s)).sum()), int((upper & (same == s) & close).sum())) for s in (False, True)}
+    assert {tuple(r) for r in catalogue.confusion_all_pairs(spark, str(tmp_path)).collect()} == want
