@@ -389,6 +389,15 @@ def group_variants_report(spark, sf_dir):
     return rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("base"), F.slice(F.sort_array(F.collect_list("doc_id")), 1, 3).cast("string").alias("variants"))
 
 
+@query("SELECT lang, source, min(doc_id) OVER (PARTITION BY lang, source) AS base, doc_id FROM documents")
+def group_members(spark, sf_dir):
+    """Every member of a group with the group's base, one row a member."""
+    rows = table(spark, sf_dir, "documents").select("lang", "source", "doc_id")
+    bases = rows.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(F.min("doc_id").alias("base"))
+    both = rows.join(bases, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")))
+    return both.select("lang", "source", "base", "doc_id")
+
+
 @query("""SELECT path, name FROM (SELECT regexp_replace(url, '/+', '/', 'g') AS path, regexp_extract(url, '[^/]*$') AS name FROM pages) WHERE regexp_matches(name, '\\.html$|^[0-9]+$')""")
 def file_listing(spark, sf_dir):
     paths = table(spark, sf_dir, "pages").select(files.normal_path(F.col("url")).alias("path"))

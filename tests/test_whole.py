@@ -47,3 +47,12 @@ def test_confusion_counts_all_pairs(spark, tmp_path):
         close = np.abs(v[:, None, c] - v[None, :, c]) < 0.1
         want |= {(c, s, int((upper & (same == s)).sum()), int((upper & (same == s) & close).sum())) for s in (False, True)}
     assert {tuple(r) for r in catalogue.confusion_all_pairs(spark, str(tmp_path)).collect()} == want
+
+
+def test_group_members_are_all_there(spark, tmp_path):
+    rows = [(i, "x", "en" if i % 9 else None, "st"[i % 2], 1) for i in range(40)]
+    base = {}
+    for i, _, lang, source, _ in rows:
+        base.setdefault((lang, source), i)
+    got = [tuple(r) for r in catalogue.group_members(spark, some_documents(spark, tmp_path, rows)).collect()]
+    assert sorted(got, key=lambda r: r[3]) == [(lang, source, base[lang, source], i) for i, _, lang, source, _ in rows]
