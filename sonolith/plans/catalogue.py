@@ -180,6 +180,28 @@ def all_pairs_results(spark, sf_dir):
     return similarity.all_pairs_results(prints(spark, sf_dir)).select("a", "b", F.round("cp", 9).alias("cp"), F.round("fm", 9).alias("fm"))
 
 
+@query(ORACLE_SQL["fp_accessors"].replace(PRINTS, WHOLE))
+def fp_accessors_whole(spark, sf_dir):
+    total = scores.total
+    return prints(spark, sf_dir, whole=True).selectExpr("soid", "songlen", "bit_rate", "num_errors", "CAST(size(cprint) AS BIGINT) AS cprint_len", f"{total('r32')} AS r_sum", f"{total('dom16')} AS dom_sum")
+
+
+@query(ORACLE_SQL["similarity_matches"].replace(PRINTS, WHOLE))
+def similarity_matches_whole(spark, sf_dir):
+    return similarity.similarity_join(prints(spark, sf_dir, whole=True)).select("a", "b", F.round("score", 9).alias("score"))
+
+
+@query(ORACLE_SQL["all_pairs_results"].replace(PRINTS, WHOLE))
+def all_pairs_results_whole(spark, sf_dir):
+    return similarity.all_pairs_results(prints(spark, sf_dir, whole=True)).select("a", "b", F.round("cp", 9).alias("cp"), F.round("fm", 9).alias("fm"))
+
+
+@query(ORACLE_SQL["overreach_filter"].replace(PRINTS, WHOLE))
+def overreach_filter_whole(spark, sf_dir):
+    hits = similarity.similarity_join(prints(spark, sf_dir, whole=True))
+    return similarity.without_overreach(hits).select("a", "m", F.round("score", 9).alias("score"))
+
+
 @query(BOTH + " SELECT a AS oid, round(avg(score), 9) AS mean, count(*) AS n FROM both_ GROUP BY a HAVING avg(score) < 0.95::DOUBLE AND count(*) > 1")
 def suspects(spark, sf_dir):
     hits = similarity.similarity_join(prints(spark, sf_dir))

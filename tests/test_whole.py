@@ -56,3 +56,12 @@ def test_group_members_are_all_there(spark, tmp_path):
         base.setdefault((lang, source), i)
     got = [tuple(r) for r in catalogue.group_members(spark, some_documents(spark, tmp_path, rows)).collect()]
     assert sorted(got, key=lambda r: r[3]) == [(lang, source, base[lang, source], i) for i, _, lang, source, _ in rows]
+
+
+def test_prints_of_whole_texts(spark, tmp_path):
+    head = " ".join(f"h{k}" for k in range(948))
+    rows = [(i, f"{head} " + " ".join(f"{tail}{k}" for k in range(948)), "en", "s", 9000) for i, tail in enumerate("aab")]
+    path = some_documents(spark, tmp_path, rows)
+    assert {r["cprint_len"] for r in catalogue.fp_accessors_whole(spark, path).collect()} == {1896}
+    assert {(r["a"], r["b"]) for r in catalogue.similarity_matches_whole(spark, path).collect()} == {(0, 1)}
+    assert catalogue.similarity_matches(spark, path).count() == 3
