@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .scores import signed
 
-PATTERN = r"^\\((\\d+),(\\d+),(\\d+),([0-9A-Fa-f]{696}),([0-9A-Fa-f]{132}),((?:-?\\d{1,10}(?: -?\\d{1,10})*)?)\\)$"
+#: The words are tested one by one: a pattern over all of them would need a stack as deep as the print is long.
+PATTERN = r"^\\((\\d+),(\\d+),(\\d+),([0-9A-Fa-f]{696}),([0-9A-Fa-f]{132}),([-0-9 ]*)\\)$"
+WORD = r"^-?\\d{1,10}$"
 
 
 def text_of(fp: str) -> str:
@@ -18,6 +20,8 @@ def parsed(text: str) -> str:
     """Struct of a literal; an error for anything else, NULL for NULL."""
     part = lambda k: f"regexp_extract({text}, '{PATTERN}', {k})"
     words = lambda k, n, d: f"transform(sequence(0, {n - 1}), i -> CAST(conv(substr({part(k)}, {d} * i + 1, {d}), 16, 10) AS BIGINT))"
-    ints = f"IF({part(6)} = '', CAST(array() AS ARRAY<BIGINT>), transform(split({part(6)}, ' '), t -> IF(CAST(t AS BIGINT) < 0, CAST(t AS BIGINT) + 4294967296L, CAST(t AS BIGINT))))"
+    tokens = f"IF({part(6)} = '', CAST(array() AS ARRAY<STRING>), split({part(6)}, ' '))"
+    ints = f"transform({tokens}, t -> IF(CAST(t AS BIGINT) < 0, CAST(t AS BIGINT) + 4294967296L, CAST(t AS BIGINT)))"
     made = f"named_struct('songlen', CAST({part(1)} AS BIGINT), 'bit_rate', CAST({part(2)} AS BIGINT), 'num_errors', CAST({part(3)} AS BIGINT), 'r32', {words(4, 87, 8)}, 'dom16', {words(5, 33, 4)}, 'cprint', {ints})"
-    return f"CASE WHEN {text} IS NULL THEN NULL WHEN {text} RLIKE '{PATTERN}' THEN {made} ELSE raise_error('not a fingerprint literal') END"
+    good = f"{text} RLIKE '{PATTERN}' AND forall({tokens}, t -> t RLIKE '{WORD}')"
+    return f"CASE WHEN {text} IS NULL THEN NULL WHEN {good} THEN {made} ELSE raise_error('not a fingerprint literal') END"

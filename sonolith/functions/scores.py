@@ -103,14 +103,22 @@ def merged(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> coalesce(x, 0L) | coalesce(y, 0L))"
 
 
-def contained(a: str, u: str, a_len: str | None = None) -> str:
-    """How far words of print a lie within union u, blended and clamped to 0..1."""
+def contained(a: str, u: str) -> str:
+    """How far words of print a lie within union u, blended and clamped to 0..1; each distance is summed once."""
     r = total(f"zip_with({a}.r32, {u}.r32, (x, y) -> CAST({dibit('(x & ~y)')} AS BIGINT))")
     d = total(f"zip_with({a}.dom16, {u}.dom16, (x, y) -> CAST(bit_count(x & ~y) AS BIGINT))")
     n = shorter(f"{a}.cprint", f"{u}.cprint")
     hits = total(f"zip_with(slice({a}.cprint, 1, {n}), slice({u}.cprint, 1, {n}), (x, y) -> IF((x & ~y) = 0 OR {low('x')} = {low('y')}, 1L, 0L))")
     share = f"IF(size({a}.cprint) = 0, 0D, {hits} / CAST(size({a}.cprint) AS DOUBLE))"
-    return f"greatest(0D, least(1D, {polynomial(share, confidence(r, d))}))"
+    parts = f"named_struct('share', {share}, 'conf', {confidence(r, d)})"
+    return f"transform(array({parts}), p -> greatest(0D, least(1D, {polynomial('p.share', 'p.conf')})))[0]"
+
+
+def problem(dom: str, cprint: str, length: str, songlen: str) -> str:
+    """What makes a print useless, or NULL: silence, or fewer words than its first minute should give. The length of the
+    metadata counts; where it is missing or 0, the print's own."""
+    seconds = f"least(coalesce(nullif({length}, 0), {songlen}), 60)"
+    return f"CASE WHEN forall({dom}, x -> x = 0) THEN 'silent track: dom is 0' WHEN size({cprint}) < floor({seconds} * 15.8D) THEN 'small print' END"
 
 
 def key_window(a: str, width: int = 240) -> str:

@@ -1,13 +1,19 @@
 """Lossless similarity joins over fingerprints.
 
-A score above the threshold needs more than `share` of equal low-bit positions and song lengths in the gate. With n
-common positions fewer than (1 - share) n differ, so among floor(n / width) disjoint bands at least one is wholly
-equal: (band number, band value) is an equi-join key, exact verification follows. Prints too short for that argument
-meet by buckets of song length, which differ by one at most inside the gate. Both are hash joins; no nested loop.
+A score above the threshold needs more than `share` of equal low-bit positions, so of n common positions fewer than
+(1 - share) n differ. Positions are cut into bands and bands into groups; so few differences cannot leave every group
+with fewer than `take` wholly equal bands, hence two matching prints agree in some `take` bands of some group. Each such
+choice of bands, with the bucket of the song length, is an equi-join key; exact verification follows. The longer the
+prints, the more positions a key can have (`ladder`). Prints too short for any key meet by buckets of both lengths.
+All joins are hash joins on keys; no nested loop.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import combinations
+from math import comb, floor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,65 +21,128 @@ from ..functions import scores
 from ..schema import FIELDS, MATCH_CP, MATCH_SCORE
 
 
-def band_plan(share: float) -> tuple[int, int]:
-    """(width, shortest common length for which floor(n / width) bands exceed the differing positions)."""
-    width = next(w for w in range(6, 0, -1) if 1 / w > (1 - share) * 1.05)
-    last = max((n for n in range(1, 4000) if n // width <= (1 - share) * n), default=0)
-    return width, last + 1
-
-
-def _keys(fp: DataFrame, width: int, shortest: int) -> DataFrame:
-    bands = f"transform(sequence(0, CAST(floor(size(cprint) / {width}) AS INT) - 1), b -> named_struct('no', b, 'key', xxhash64(transform(slice(cprint, b * {width} + 1, {width}), x -> x & -x))))"
-    return fp.where(f"size(cprint) >= {shortest}").select("soid", "songlen", F.size("cprint").alias("n"), F.explode(F.expr(bands)).alias("band")).select("soid", "songlen", "n", "band.no", "band.key")
-
-
-def candidate_pairs(fp: DataFrame, share: float = MATCH_CP) -> DataFrame:
-    """(a, b), a < b: every pair of soid that could pass, once."""
-    width, shortest = band_plan(share)
-    keys = _keys(fp, width, shortest)
-    fits = "10 * abs(l.songlen - r.songlen) <= least(l.songlen, r.songlen) AND l.soid < r.soid AND least(l.n, r.n) > {share} * greatest(l.n, r.n)".format(share=share)
-    by_band = keys.alias("l").join(keys.alias("r"), F.expr(f"l.no = r.no AND l.key = r.key AND {fits}")).selectExpr("l.soid AS a", "r.soid AS b")
-    bucket = "CAST(IF(songlen <= 0, -9, floor(ln(songlen) / ln(1.11D))) AS INT)"
-    size = "CAST(IF(size(cprint) = 0, -9, floor(ln(size(cprint)) / ln(1.5D))) AS INT)"
-    short = fp.where(f"size(cprint) < {int(shortest / share) + 1}").selectExpr("soid", "songlen", "size(cprint) AS n", f"{bucket} AS bucket", f"{size} AS size")
-    wide = short.withColumn("bucket", F.explode(F.expr("array(bucket - 1, bucket, bucket + 1)"))).withColumn("size", F.explode(F.expr("array(size - 1, size, size + 1)")))
-    by_length = short.alias("l").join(wide.alias("r"), F.expr(f"l.bucket = r.bucket AND l.size = r.size AND {fits}")).selectExpr("l.soid AS a", "r.soid AS b")
-    return by_band.unionByName(by_length).distinct()
-
-
-def with_prints(pairs: DataFrame, fp: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Keys:
+    """Keys of `take` out of `group` bands of `width` positions; they miss nothing from `least` common positions on."""
+
+    width: int
+    group: int
+    take: int
+    least: int
+
+    @property
+    def positions(self) -> int:
+        return self.width * self.take
+
+
+def plan(share: float, width: int, group: int, take: int) -> Keys | None:
+    """A group without `take` equal bands has (group - take + 1) differences; floor(n / span) groups must not hold them all."""
+    span = width * group
+    kept, most = (group - take + 1) / span, (1 - share) * (1 + 1e-9)
+    return Keys(width, group, take, floor(kept * (span - 1) / (kept - most)) + 1) if kept > most else None
+
+
+def ladder(share: float, limits: tuple[int, ...] = (40, 90, 200, 500), rows: float = 1.0, positions: int = 14) -> list[Keys]:
+    """The keys of most positions for each length limit, at no more than `rows` keys a word; stronger ones for longer prints."""
+    shapes = [(w, g, t) for w in range(1, 7) for g in range(1, 11) for t in range(1, g + 1) if comb(g, t) <= rows * w * g and w * t <= positions]
+    found = [k for k in (plan(share, *s) for s in shapes) if k]
+    out: list[Keys] = []
+    for limit in limits:
+        fit = [k for k in found if k.least <= limit]
+        if fit:
+            best = max(fit, key=lambda k: (k.positions, -comb(k.group, k.take) / (k.width * k.group), -k.least))
+            if not out or best.positions > out[-1].positions:
+                out.append(best)
+    return out
+
+
+BUCKET = "CAST(IF(songlen <= 0, -9, floor(ln(songlen) / ln(1.11D))) AS INT)"
+
+
+def _keys(fp: DataFrame, share: float, tiers: list[Keys]) -> DataFrame:
+    """(soid, songlen, n, bucket, key) of every print."""
+    rows = fp.selectExpr("soid", "songlen", "size(cprint) AS n", f"{BUCKET} AS bucket", "transform(cprint, x -> x & -x) AS low")
+    parts = []
+    for k, t in enumerate(tiers):
+        above = tiers[k + 1].least if k + 1 < len(tiers) else None
+        groups = f"CAST(floor(n / {t.width * t.group}) AS INT)"
+        inside = f"n >= {t.least}" + (f" AND floor(n * {share}D) < {above}" if above else "")
+        bands = f"transform(sequence(0, {groups} * {t.group} - 1), b -> xxhash64(slice(low, b * {t.width} + 1, {t.width})))"
+        chosen = "array(" + ", ".join("array(" + ", ".join(map(str, c)) + ")" for c in combinations(range(t.group), t.take)) + ")"
+        keys = f"flatten(transform(sequence(0, {groups} - 1), g -> transform({chosen}, c -> xxhash64({k}, g, c, transform(c, i -> bands[g * {t.group} + i])))))"
+        parts.append(rows.where(inside).selectExpr("soid", "songlen", "n", "bucket", f"{bands} AS bands").selectExpr("soid", "songlen", "n", "bucket", f"explode({keys}) AS key"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def candidate_pairs(fp: DataFrame, share: float = MATCH_CP, left: DataFrame | None = None) -> DataFrame:
+    """(a, b): every pair of soid that could pass, once; a < b within fp, or a of `left` against another b of fp."""
+    tiers = ladder(share)
+    order = "l.soid < r.soid" if left is None else "l.soid <> r.soid"
+    left = fp if left is None else left
+    fits = f"10 * abs(l.songlen - r.songlen) <= least(l.songlen, r.songlen) AND {order} AND least(l.n, r.n) > {share}D * greatest(l.n, r.n)"
+    shortest, parts = 1 << 31, []
+    near = F.explode(F.expr("array(bucket - 1, bucket, bucket + 1)"))
+    if tiers:
+        shortest = tiers[0].least
+        wide = _keys(fp, share, tiers).withColumn("bucket", near)
+        met = _keys(left, share, tiers).alias("l").join(wide.alias("r"), F.expr(f"l.key = r.key AND l.bucket = r.bucket AND {fits}"))
+        parts.append(met.selectExpr("l.soid AS a", "r.soid AS b"))
+    size = "CAST(floor(ln(size(cprint)) / ln(1.5D)) AS INT)"  # an empty print matches nothing
+    short = lambda df: df.where(f"size(cprint) > 0 AND size(cprint) < {int(shortest / share) + 1}").selectExpr("soid", "songlen", "size(cprint) AS n", f"{BUCKET} AS bucket", f"{size} AS size")
+    wide = short(fp).withColumn("bucket", near).withColumn("size", F.explode(F.expr("array(size - 1, size, size + 1)")))
+    parts.append(short(left).alias("l").join(wide.alias("r"), F.expr(f"l.bucket = r.bucket AND l.size = r.size AND {fits}")).selectExpr("l.soid AS a", "r.soid AS b"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def with_prints(pairs: DataFrame, fp: DataFrame, left: DataFrame | None = None) -> DataFrame:
     """pairs (a, b) with structs fa and fb."""
-    whole = fp.select("soid", F.struct(*FIELDS).alias("fp"))
-    left, right = whole.toDF("a", "fa"), whole.toDF("b", "fb")
-    return pairs.join(left, "a").join(right, "b")
+    whole = lambda df: df.select("soid", F.struct(*FIELDS).alias("fp"))
+    return pairs.join(whole(fp if left is None else left).toDF("a", "fa"), "a").join(whole(fp).toDF("b", "fb"), "b")
 
 
-def similarity_join(fp: DataFrame, score: float = MATCH_SCORE, share: float = MATCH_CP) -> DataFrame:
-    """(a, b, score) of all pairs a < b whose blended score exceeds `score`. share must bound it (see schema)."""
+def similarity_join(fp: DataFrame, score: float = MATCH_SCORE, share: float = MATCH_CP, left: DataFrame | None = None) -> DataFrame:
+    """(a, b, score) of all pairs whose blended score exceeds `score`: a < b, or a of `left` against every other print.
+    share must bound the score (see schema)."""
     one = F.array(F.expr(scores.blend("fa", "fb")))  # a filter above a projection would score every pair twice
-    return with_prints(candidate_pairs(fp, share), fp).select("a", "b", F.explode(F.filter(one, lambda s: s > score)).alias("score"))
+    found = with_prints(candidate_pairs(fp, share, left), fp, left)
+    return found.select("a", "b", F.explode(F.filter(one, lambda s: s > score)).alias("score"))
 
 
 def all_pairs_results(fp: DataFrame, cp: float = 0.72, fm: float = 0.72) -> DataFrame:
     """(a, b, cp, fm) of pairs in the gate whose two scores both exceed their thresholds."""
     both = with_prints(candidate_pairs(fp, cp), fp)
-    told = both.select("a", "b", F.expr(scores.cp("fa.cprint", "fb.cprint")).alias("cp"), F.expr(scores.fm("fa", "fb")).alias("fm"))
-    return told.where((F.col("cp") > cp) & (F.col("fm") > fm))
+    told = F.struct(F.expr(scores.cp("fa.cprint", "fb.cprint")).alias("cp"), F.expr(scores.fm("fa", "fb")).alias("fm"))
+    kept = F.filter(F.array(told), lambda s: (s["cp"] > cp) & (s["fm"] > fm))
+    return both.select("a", "b", F.explode(kept).alias("s")).select("a", "b", "s.cp", "s.fm")
+
+
+def probe(fp: DataFrame, queries: DataFrame, score: float = MATCH_SCORE) -> DataFrame:
+    """(soid, match, score) of what matches each of the query prints (soid and the six fields), best first; a query's own
+    row does not count."""
+    hits = similarity_join(fp, score, left=queries).select(F.col("a").alias("soid"), F.col("b").alias("match"), "score")
+    return hits.orderBy("soid", F.desc("score"), "match")
 
 
-def probe(fp: DataFrame, soid: int, score: float = MATCH_SCORE) -> DataFrame:
-    """(soid, score) of what matches one print, best first; the one row is broadcast, the table is scanned once."""
-    one = fp.where(F.col("soid") == soid).limit(1).select(F.struct(*FIELDS).alias("fa"))
-    rest = fp.where(F.col("soid") != soid)
-    near = F.expr("10 * abs(songlen - fa.songlen) <= least(songlen, fa.songlen)")
-    hits = rest.join(F.broadcast(one), near).select("soid", F.struct(*FIELDS).alias("fb"), "fa")
-    return hits.select("soid", F.expr(scores.blend("fa", "fb")).alias("score")).where(F.col("score") > score).orderBy(F.desc("score"), "soid")
+def second_hop(fp: DataFrame, queries: DataFrame, score: float = MATCH_SCORE) -> DataFrame:
+    """(origin, soid, match, score): what matches the matches of each query, but for the query itself."""
+    first = similarity_join(fp, score, left=queries).select(F.col("a").alias("origin"), F.col("b").alias("soid"))
+    hops = fp.join(first.select("soid").distinct(), "soid", "left_semi")
+    second = similarity_join(fp, score, left=hops).select(F.col("a").alias("soid"), F.col("b").alias("match"), "score")
+    return first.join(second, "soid").where("match <> origin").select("origin", "soid", "match", "score")
 
 
 def without_overreach(links: DataFrame, factor: float = 1.05) -> DataFrame:
     """Directed matches (a, m, score) less those m that have a better friend: some e other than a with
-    score(m, e) > factor * score(a, m). One equi-join and an anti-join in place of a query a match."""
+    score(m, e) > factor * score(a, m). The two best friends of each m decide, so one aggregated row a print is joined."""
     both = links.selectExpr("a", "b AS m", "score").unionByName(links.selectExpr("b AS a", "a AS m", "score"))
-    second = both.selectExpr("a AS m", "m AS e", "score AS s2")
-    over = both.join(second, "m").where((F.col("e") != F.col("a")) & (F.col("s2") > factor * F.col("score"))).select("a", "m").distinct()
-    return both.join(over, ["a", "m"], "left_anti")
+    best = both.groupBy(F.col("a").alias("m")).agg(F.max(F.struct("score", F.col("m").alias("e"))).alias("first"))
+    rest = both.join(best.withColumnRenamed("m", "a"), "a").where("m <> first.e").groupBy(F.col("a").alias("m")).agg(F.max("score").alias("second"))
+    other = F.when(F.col("first.e") == F.col("a"), F.col("second")).otherwise(F.col("first.score"))
+    told = both.join(best, "m").join(rest, "m", "left").withColumn("other", other)
+    return told.where(F.col("other").isNull() | (F.col("other") <= F.lit(factor) * F.col("score"))).select("a", "m", "score")

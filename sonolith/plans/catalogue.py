@@ -1,56 +1,29 @@
-"""Queries over the driver's tables and the DuckDB SQL that says the same."""
+"""Queries over the driver's tables and the DuckDB SQL that says the same: fingerprints and what is done with them."""
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import literal, scores
-from ..operators import alignment, confusion, dedupe, signal, similarity
+from ..functions import literal, names, scores, unions
+from ..operators import alignment, dedupe, index, signal, similarity
 from ..schema import FIELDS
-from ..sources import files
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
+from ..storage import materialise
+from .registry import ORACLE_SQL, QUERIES, query, table
 
 # -- derived fingerprints -------------------------------------------------------------------------------------------------
 
 PRINTS = """
-WITH tok AS (SELECT doc_id, n_chars, lang, source, list_transform(list_slice(string_split(lower(text), ' '), 1, 948), lambda t: md5(t)) AS m FROM documents),
+WITH tok AS (SELECT doc_id, n_chars, lang, source, list_transform(string_split(lower(text), ' '), lambda t: md5(t)) AS m FROM documents),
 fp AS (SELECT doc_id AS soid, n_chars AS songlen, 64 + 64 * (doc_id % 5) AS bit_rate, doc_id % 4 AS num_errors, lang, source,
   list_transform(range(1, 88), lambda i: coalesce(('0x' || substr(m[i], 1, 8))::BIGINT, 0)) AS r32,
   list_transform(range(1, 34), lambda i: coalesce(('0x' || substr(m[i], 9, 4))::BIGINT, 0)) AS dom16,
   list_transform(m, lambda t: ('0x' || substr(t, 1, 8))::BIGINT) AS cprint FROM tok)"""
 
 
-#: Prints of all words of a text.
-WHOLE = PRINTS.replace("list_slice(string_split(lower(text), ' '), 1, 948)", "string_split(lower(text), ' ')")
-
-
-def prints(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Fingerprints derived from documents: soid, the six fields, lang, source; of the first 948 words or the whole text."""
-    words = "split(lower(text), ' ')" if whole else "slice(split(lower(text), ' '), 1, 948)"
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "n_chars", "lang", "source", f"transform({words}, t -> md5(t)) AS m")
+def derived(docs: DataFrame) -> DataFrame:
+    """Fingerprints derived from documents: soid, the six fields, lang, source; cprint has a word for each word of the text."""
+    docs = docs.selectExpr("doc_id", "n_chars", "lang", "source", "transform(split(lower(text), ' '), t -> md5(t)) AS m")
     word = lambda t, at, n: f"CAST(conv(substr({t}, {at}, {n}), 16, 10) AS BIGINT)"
     return docs.selectExpr(
         "doc_id AS soid", "n_chars AS songlen", "64 + 64 * (doc_id % 5) AS bit_rate", "doc_id % 4 AS num_errors", "lang", "source",
@@ -59,9 +32,22 @@ def prints(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     )
 
 
-def neighbours(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of fingerprints: derived once in a session, written in order of song length, so that the gate of a search
+    skips whole row groups."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        rows = derived(table(spark, sf_dir, "documents"))
+        _stored[key] = materialise(rows.repartitionByRange("songlen", "soid").sortWithinPartitions("songlen", "soid"), "prints")
+    return _stored[key]
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each print with the one of the next id: a, b and structs fa, fb. An equi-join."""
-    fp = prints(spark, sf_dir, whole).select("soid", F.struct(*FIELDS).alias("fp"))
+    fp = prints(spark, sf_dir).select("soid", F.struct(*FIELDS).alias("fp"))
     right = fp.select(F.col("soid").alias("b"), (F.col("soid") - 1).alias("a"), F.col("fp").alias("fb"))
     return fp.select(F.col("soid").alias("a"), F.col("fp").alias("fa")).join(right, "a")
 
@@ -156,13 +142,32 @@ def similarity_matches(spark, sf_dir):
     return similarity.similarity_join(prints(spark, sf_dir)).select("a", "b", F.round("score", 9).alias("score"))
 
 
-def _probe_id(spark, sf_dir) -> int:
-    return 7
+PROBES = GATED.split(", gated AS")[0] + f", pairs AS (SELECT fa.soid AS a, fb.soid AS b, fa, fb FROM fp fa JOIN fp fb ON fa.soid % 100 = 0 AND fb.soid <> fa.soid AND {_gate('fa', 'fb')}), hits AS (SELECT a, b, score FROM {_scored('pairs')} WHERE score > 0.6::DOUBLE)"
+
+
+def probes(spark, sf_dir) -> DataFrame:
+    """The query set of searches: every print whose id is divisible by 100."""
+    return prints(spark, sf_dir).where("soid % 100 = 0")
 
 
-@query(PRINTS + f", pairs AS (SELECT fa.soid AS a, fb.soid AS b, fa, fb FROM fp fa JOIN fp fb ON fa.soid = 7 AND fb.soid <> 7) SELECT b AS soid, round(score, 9) AS score FROM {_scored('pairs')} WHERE score > 0.05::DOUBLE")
-def probe_by_id(spark, sf_dir):
-    return similarity.probe(prints(spark, sf_dir), _probe_id(spark, sf_dir), 0.05).select("soid", F.round("score", 9).alias("score"))
+@query(PROBES + " SELECT a AS soid, b AS match, round(score, 9) AS score FROM hits")
+def self_match_by_id(spark, sf_dir):
+    return similarity.probe(prints(spark, sf_dir), probes(spark, sf_dir)).select("soid", "match", F.round("score", 9).alias("score"))
+
+
+@query(PROBES + " SELECT a AS soid, b AS match, round(score, 9) AS score FROM hits")
+def probe_by_literal(spark, sf_dir):
+    """Searches by text literals: each is parsed, then matched like a stored print."""
+    texts = probes(spark, sf_dir).select("soid", F.struct(*FIELDS).alias("fp")).selectExpr("soid", f"{literal.text_of('fp')} AS t")
+    asked = texts.selectExpr("soid", f"{literal.parsed('t')} AS fp").select("soid", "fp.*")
+    return similarity.probe(prints(spark, sf_dir), materialise(asked, "asked")).select("soid", "match", F.round("score", 9).alias("score"))
+
+
+@query(PROBES + f""", second AS (SELECT fa.soid AS a, fb.soid AS b, fa, fb FROM fp fa JOIN fp fb ON fa.soid IN (SELECT b FROM hits) AND fb.soid <> fa.soid AND {_gate('fa', 'fb')}),
+hops AS (SELECT a, b, score FROM {_scored('second')} WHERE score > 0.6::DOUBLE)
+SELECT h.a AS origin, s.a AS soid, s.b AS match, round(s.score, 9) AS score FROM hits h JOIN hops s ON s.a = h.b AND s.b <> h.a""")
+def second_hop(spark, sf_dir):
+    return similarity.second_hop(prints(spark, sf_dir), probes(spark, sf_dir)).select("origin", "soid", "match", F.round("score", 9).alias("score"))
 
 
 BOTH = GATED + ", hits AS (SELECT a, b, score FROM scored WHERE score > 0.6::DOUBLE), both_ AS (SELECT a, b AS m, score FROM hits UNION ALL SELECT b, a, score FROM hits)"
@@ -180,56 +185,29 @@ def all_pairs_results(spark, sf_dir):
     return similarity.all_pairs_results(prints(spark, sf_dir)).select("a", "b", F.round("cp", 9).alias("cp"), F.round("fm", 9).alias("fm"))
 
 
-@query(ORACLE_SQL["fp_accessors"].replace(PRINTS, WHOLE))
-def fp_accessors_whole(spark, sf_dir):
-    total = scores.total
-    return prints(spark, sf_dir, whole=True).selectExpr("soid", "songlen", "bit_rate", "num_errors", "CAST(size(cprint) AS BIGINT) AS cprint_len", f"{total('r32')} AS r_sum", f"{total('dom16')} AS dom_sum")
-
-
-@query(ORACLE_SQL["similarity_matches"].replace(PRINTS, WHOLE))
-def similarity_matches_whole(spark, sf_dir):
-    return similarity.similarity_join(prints(spark, sf_dir, whole=True)).select("a", "b", F.round("score", 9).alias("score"))
-
-
-@query(ORACLE_SQL["all_pairs_results"].replace(PRINTS, WHOLE))
-def all_pairs_results_whole(spark, sf_dir):
-    return similarity.all_pairs_results(prints(spark, sf_dir, whole=True)).select("a", "b", F.round("cp", 9).alias("cp"), F.round("fm", 9).alias("fm"))
-
-
-@query(ORACLE_SQL["overreach_filter"].replace(PRINTS, WHOLE))
-def overreach_filter_whole(spark, sf_dir):
-    hits = similarity.similarity_join(prints(spark, sf_dir, whole=True))
-    return similarity.without_overreach(hits).select("a", "m", F.round("score", 9).alias("score"))
-
-
-@query(BOTH + " SELECT a AS oid, round(avg(score), 9) AS mean, count(*) AS n FROM both_ GROUP BY a HAVING avg(score) < 0.95::DOUBLE AND count(*) > 1")
+@query(GATED + """, pair AS (SELECT a, b, cp FROM scored WHERE cp > 0.72::DOUBLE AND fm > 0.72::DOUBLE), both_ AS (SELECT a, cp FROM pair UNION ALL SELECT b, cp FROM pair)
+SELECT a AS oid, round(avg(cp), 9) AS mean, count(*) AS n, list_aggregate(list_transform(list_sort(list(cp)), lambda v: round(v, 6)::VARCHAR), 'string_agg', ' ') AS "values" FROM both_ GROUP BY a HAVING avg(cp) < 0.9::DOUBLE AND count(*) > 3""")
 def suspects(spark, sf_dir):
-    hits = similarity.similarity_join(prints(spark, sf_dir))
-    both = hits.select("a", "score").unionByName(hits.select(F.col("b").alias("a"), "score"))
-    return dedupe.suspects(both, "a", "score", 0.95, 1).select("oid", F.round("mean", 9).alias("mean"), "n")
+    """Prints of more than three results whose mean share stays low; shares of results lie above 0.72, so low is below 0.9
+    here, where the operator's own bound for likenesses of names is 0.7."""
+    hits = similarity.all_pairs_results(prints(spark, sf_dir))
+    both = hits.select("a", "cp").unionByName(hits.select(F.col("b").alias("a"), "cp"))
+    text = F.array_join(F.transform("values", lambda v: F.round(v, 6).cast("string")), " ")
+    return dedupe.suspects(both, "a", "cp", mean=0.9).select("oid", F.round("mean", 9).alias("mean"), "n", text.alias("values"))
 
 
-@query("""WITH d AS (SELECT doc_id AS soid, n_chars // 100 AS grp, 64 + 64 * (doc_id % 5) AS bit_rate, doc_id % 4 AS num_errors FROM documents)
-SELECT soid, grp, row_number() OVER (PARTITION BY grp ORDER BY (num_errors <= 1) DESC, CASE WHEN num_errors <= 1 THEN bit_rate END DESC NULLS LAST, num_errors, bit_rate DESC, soid) AS place FROM d""")
-def best_of_election(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS soid", "n_chars div 100 AS grp", "64 + 64 * (doc_id % 5) AS bit_rate", "doc_id % 4 AS num_errors")
-    return dedupe.elect(rows, "grp").select("soid", "grp", F.col("place").cast("long").alias("place"))
+_OR_FOLD = """, cells AS (SELECT source, 'r32' AS part, unnest(r32) AS word, generate_subscripts(r32, 1) AS pos FROM fp UNION ALL SELECT source, 'dom16', unnest(dom16), generate_subscripts(dom16, 1) FROM fp
+  UNION ALL SELECT source, 'cprint', unnest(cprint), generate_subscripts(cprint, 1) FROM fp),
+folded AS (SELECT source, part, pos, bit_or(word) AS word FROM cells GROUP BY source, part, pos),
+arrays AS (SELECT source, list(word ORDER BY pos) FILTER (WHERE part = 'r32') AS r32, list(word ORDER BY pos) FILTER (WHERE part = 'dom16') AS dom16, list(word ORDER BY pos) FILTER (WHERE part = 'cprint') AS cprint FROM folded GROUP BY source),
+u AS (SELECT a.source, a.r32, a.dom16, a.cprint, s.lo AS min_songlen, s.hi AS max_songlen FROM arrays a JOIN (SELECT source, min(songlen) AS lo, max(songlen) AS hi FROM fp GROUP BY source) s ON s.source IS NOT DISTINCT FROM a.source)"""
 
 
-@query("""WITH d AS (SELECT doc_id AS soid, n_chars // 100 AS grp, 64 + 64 * (doc_id % 5) AS bit_rate, doc_id % 4 AS num_errors FROM documents),
-e AS (SELECT soid, grp, row_number() OVER (PARTITION BY grp ORDER BY (num_errors <= 1) DESC, CASE WHEN num_errors <= 1 THEN bit_rate END DESC NULLS LAST, num_errors, bit_rate DESC, soid) AS place FROM d)
-SELECT x.soid AS oid, y.soid AS dupe_of FROM e x JOIN e y ON x.grp = y.grp AND y.place = 1 AND x.place > 1""")
-def dupe_groups(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS soid", "n_chars div 100 AS grp", "64 + 64 * (doc_id % 5) AS bit_rate", "doc_id % 4 AS num_errors")
-    return dedupe.dupe_table(rows, dedupe.elect(rows, "grp"))
-
-
-@query(PRINTS + """, w AS (SELECT source, songlen, unnest(cprint) AS word, generate_subscripts(cprint, 1) AS pos FROM fp)
-SELECT source, pos::BIGINT AS pos, bit_or(word) AS word, min(songlen) AS min_songlen, max(songlen) AS max_songlen FROM w GROUP BY source, pos""")
+@query(PRINTS + _OR_FOLD + " SELECT source, min_songlen, max_songlen, list_sum(r32)::BIGINT AS r_sum, list_sum(dom16)::BIGINT AS dom_sum, len(cprint) AS cprint_len, list_sum(cprint)::BIGINT AS cprint_sum FROM u")
 def union_merge(spark, sf_dir):
-    words = prints(spark, sf_dir).selectExpr("source", "songlen", "posexplode(cprint) AS (p, word)")
-    out = words.groupBy("source", (F.col("p") + 1).cast("long").alias("pos"))
-    return out.agg(F.expr("bit_or(word)").alias("word"), F.min("songlen").alias("min_songlen"), F.max("songlen").alias("max_songlen"))
+    rows = unions.folded(prints(spark, sf_dir), "source").select("source", "u.*")
+    total = scores.total
+    return rows.selectExpr("source", "min_songlen", "max_songlen", f"{total('r32')} AS r_sum", f"{total('dom16')} AS dom_sum", "CAST(size(cprint) AS BIGINT) AS cprint_len", f"{total('cprint')} AS cprint_sum")
 
 
 _CONTAINED = "greatest(0::DOUBLE, least(1::DOUBLE, " + _poly("share", "conf") + "))"
@@ -253,9 +231,40 @@ def containment_score(spark, sf_dir):
     return _with_union(neighbours(spark, sf_dir)).selectExpr("a", "b", f"round({scores.contained('fa', 'u')}, 9) AS score")
 
 
-@query(NEXT + " " + _contained_sql("pairs", "fa", "fb"))
+#: Unions of ten prints each, in order of id.
+_TENS = _OR_FOLD.replace("source", "ten")
+_TEN_PRINTS = PRINTS.replace("SELECT doc_id AS soid", "SELECT doc_id // 10 AS ten, doc_id AS soid")
+
+
+def tens(spark, sf_dir) -> DataFrame:
+    """(ten, u): unions of ten prints."""
+    rows = unions.folded(prints(spark, sf_dir).withColumn("ten", F.expr("soid div 10")), "ten")
+    return materialise(rows, "unions")
+
+
+_APART = "fa.max_songlen < fb.min_songlen OR fb.max_songlen < fa.min_songlen"
+
+
+@query(_TEN_PRINTS + _TENS + ", pairs AS (SELECT l.ten AS a, r.ten AS b, l AS fa, r AS fb FROM u l JOIN u r ON r.ten = l.ten + 1 UNION ALL SELECT l.ten, r.ten, l, r FROM u l JOIN u r ON r.ten = l.ten + 2) "
+       + _contained_sql("pairs", "fa", "fb").replace("SELECT a, b, round(", f"SELECT a, b, round(CASE WHEN apart THEN 0::DOUBLE ELSE 1::DOUBLE END * ", 1).replace("(SELECT a, b, CASE", f"(SELECT a, b, ({_APART}) AS apart, CASE", 1))
 def union_against_union(spark, sf_dir):
-    return neighbours(spark, sf_dir).selectExpr("a", "b", f"round({scores.contained('fa', 'fb')}, 9) AS score")
+    u = tens(spark, sf_dir)
+    left = u.select(F.col("ten").alias("a"), F.col("u").alias("fa"), F.explode(F.array(F.col("ten") + 1, F.col("ten") + 2)).alias("b"))
+    rows = left.join(u.select(F.col("ten").alias("b"), F.col("u").alias("fb")), "b")
+    return rows.selectExpr("a", "b", f"round({unions.against('fa', 'fb')}, 9) AS score")
+
+
+_GROWN = """(SELECT p.a, p.b, p.fa, {'r32': list_transform(range(1, 88), lambda i: p.fb.r32[i] | x.r32[i]), 'dom16': list_transform(range(1, 34), lambda i: p.fb.dom16[i] | x.dom16[i]),
+  'cprint': list_transform(range(1, greatest(len(p.fb.cprint), len(x.cprint)) + 1), lambda i: coalesce(p.fb.cprint[i], 0) | coalesce(x.cprint[i], 0))} AS u FROM pairs p JOIN fp x ON x.soid = p.a * 10)"""
+
+
+@query(_TEN_PRINTS + _TENS + ", pairs AS (SELECT l.ten AS a, r.ten AS b, l AS fa, r AS fb FROM u l JOIN u r ON r.ten = l.ten + 1) " + _contained_sql(_GROWN, "fa", "u"))
+def what_if_union(spark, sf_dir):
+    """How far a union would lie in the next one if its own first print joined that."""
+    u = tens(spark, sf_dir)
+    rows = u.select(F.col("ten").alias("a"), F.col("u").alias("fa"), (F.col("ten") + 1).alias("b")).join(u.select(F.col("ten").alias("b"), F.col("u").alias("fb")), "b")
+    one = prints(spark, sf_dir).where("soid % 10 = 0").select(F.expr("soid div 10").alias("a"), F.struct("songlen", "r32", "dom16", "cprint").alias("x"))
+    return rows.join(one, "a").selectExpr("a", "b", f"round({unions.what_if('fa', 'fb', 'x')}, 9) AS score")
 
 
 @query(NEXT + f""" SELECT a, b, round(CASE WHEN {_n('fa', 'fb')} = 0 THEN 1::DOUBLE ELSE 1::DOUBLE - {_SUM.format('range(1, ' + _n('fa', 'fb') + ' + 1)', 'bit_count(xor(fa.cprint[i], fb.cprint[i]))')} / (32 * {_n('fa', 'fb')})::DOUBLE END, 9) AS score FROM pairs""")
@@ -278,109 +287,50 @@ def pearson_abs(spark, sf_dir):
     return neighbours(spark, sf_dir).selectExpr("a", "b", f"round({scores.pearson('fa.cprint', 'fb.cprint')}, 6) AS score")
 
 
-@query(NEXT + """, s AS (SELECT a, b, fa.cprint[1:200] AS x, fb.cprint[1:200] AS y FROM pairs),
+def _diagonals(pairs: str, bits: str, score: str) -> str:
+    return NEXT + f""", s AS ({pairs}),
 i AS (SELECT a, b, y, x, unnest(range(1, len(x) + 1)) AS i FROM s),
 j AS (SELECT a, b, x[i] AS u, y, i, unnest(range(greatest(1, i - 120), least(len(y), i + 119) + 1)) AS j FROM i),
-d AS (SELECT a, b, j - i AS diag, count(*) AS n FROM j WHERE bit_count(xor(u, y[j])) <= 2 GROUP BY a, b, j - i)
-SELECT s.a, s.b, round(coalesce(max(d.n), 0) / least(len(any_value(s.x)), len(any_value(s.y)))::DOUBLE, 9) AS score FROM s LEFT JOIN d ON s.a = d.a AND s.b = d.b GROUP BY s.a, s.b""")
-def alignment_topcount(spark, sf_dir):
-    s = neighbours(spark, sf_dir).selectExpr("a", "b", "slice(fa.cprint, 1, 200) AS x", "slice(fb.cprint, 1, 200) AS y")
-    near = "transform(x, (u, i) -> transform(filter(transform(slice(y, greatest(1, i - 119), greatest(0, least(size(y), i + 120) - greatest(1, i - 119) + 1)), (v, k) -> named_struct('v', v, 'd', greatest(1, i - 119) + k - 1 - i)), p -> bit_count(u ^ p.v) <= 2), p -> p.d))"
-    diag = s.selectExpr("a", "b", "least(size(x), size(y)) AS n", f"explode_outer(flatten({near})) AS diag")
-    counts = diag.groupBy("a", "b", "n", "diag").agg(F.count("diag").alias("hits"))
-    return counts.groupBy("a", "b").agg(F.round(F.max("hits") / F.max("n").cast("double"), 9).alias("score"))
-
-
-@query()
-def alignment_whole(spark, sf_dir):
-    """As alignment_topcount, over whole prints of whole texts."""
-    pairs = neighbours(spark, sf_dir, whole=True).selectExpr("a", "b", "fa.cprint AS x", "fb.cprint AS y")
-    return alignment.aligned(pairs).select("a", "b", F.round("score", 9).alias("score"))
-
-
-@query(PRINTS + " SELECT soid, len(k) AS n, coalesce(list_sum(k), 0)::BIGINT AS word_sum FROM (SELECT soid, list_slice(cprint, CASE WHEN len(cprint) >= 944 THEN 705 WHEN len(cprint) >= 704 THEN 465 ELSE 1 END, CASE WHEN len(cprint) >= 944 THEN 944 WHEN len(cprint) >= 704 THEN 704 ELSE 240 END) AS k FROM fp)")
-def key_window(spark, sf_dir):
-    return prints(spark, sf_dir).selectExpr("soid", f"{scores.key_window('cprint')} AS k").selectExpr("soid", "CAST(size(k) AS BIGINT) AS n", f"{scores.total('k')} AS word_sum")
-
-
-@query(PRINTS + " SELECT soid, CASE WHEN list_sum(dom16) = 0 THEN 'silent track: dom is 0' WHEN len(cprint) < floor(least(songlen, 60) * 15.8::DOUBLE) THEN 'small print' END AS problem FROM fp")
-def bad_prints(spark, sf_dir):
-    return prints(spark, sf_dir).selectExpr("soid", "CASE WHEN forall(dom16, x -> x = 0) THEN 'silent track: dom is 0' WHEN size(cprint) < floor(least(songlen, 60) * 15.8D) THEN 'small print' END AS problem")
-
-
-@query("""WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x < 0 THEN CASE WHEN x < -0.1::FLOAT THEN 0 ELSE 1 END ELSE CASE WHEN x < 0.1::FLOAT THEN 2 ELSE 3 END END) AS q FROM embeddings)
-SELECT vec_id, w, list_reduce(list_prepend(0::BIGINT, list_transform(q[w * 16 + 1:w * 16 + 16], lambda v: [0, 1, 3, 2][v + 1]::BIGINT)), lambda s, g: s * 4 + g) AS word FROM (SELECT vec_id, q, unnest(range(0, 4)) AS w FROM q)""")
-def quantize_pack(spark, sf_dir):
-    q = "transform(embedding, x -> IF(x < CAST(0 AS FLOAT), IF(x < CAST(-0.1 AS FLOAT), 0, 1), IF(x < CAST(0.1 AS FLOAT), 2, 3)))"
-    rows = table(spark, sf_dir, "embeddings").selectExpr("vec_id", f"{q} AS q").selectExpr("vec_id", "q", "explode(sequence(0L, 3L)) AS w")
-    return rows.selectExpr("vec_id", "w", f"{signal.pack_gray('slice(q, CAST(w * 16 + 1 AS INT), 16)')} AS word")
-
-
-@query("""WITH b AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS bin FROM embeddings),
-n AS (SELECT vec_id, x, floor(12 * (ln(bin * 1000::DOUBLE / 256 / (440::DOUBLE / 16)) / ln(2::DOUBLE) - floor(ln(bin * 1000::DOUBLE / 256 / (440::DOUBLE / 16)) / ln(2::DOUBLE))))::INTEGER AS note FROM b WHERE bin >= 8)
-SELECT vec_id, note, round(sum(x * x), 9) AS energy FROM n GROUP BY vec_id, note""")
-def chroma_fold(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "posexplode(embedding) AS (p, x)").selectExpr("vec_id", "p + 1 AS bin", "CAST(x AS DOUBLE) AS x").where("bin >= 8")
-    return rows.withColumn("note", F.expr(signal.note_of("bin", 1000, 256))).groupBy("vec_id", "note").agg(F.round(F.sum(F.col("x") * F.col("x")), 9).alias("energy"))
-
-
-@query("""SELECT vec_id, round(list_sum(list_transform(v, lambda x: x / n * (x / n))), 9) AS squares, round(v[1] / n, 9) AS first FROM
-  (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)""")
-def l2_normalize(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "CAST(embedding AS ARRAY<DOUBLE>) AS v").selectExpr("vec_id", f"{signal.normalised('v')} AS v")
-    return rows.selectExpr("vec_id", "round(aggregate(v, 0D, (s, x) -> s + x * x), 9) AS squares", "round(v[0], 9) AS first")
+d AS (SELECT a, b, j - i AS diag, count(*) AS n FROM j WHERE bit_count(xor(u, y[j])) {bits} GROUP BY a, b, j - i),
+t AS (SELECT a, b, max(n) AS top FROM d GROUP BY a, b)
+SELECT s.a, s.b, round({score}, 9) AS score FROM s LEFT JOIN t ON s.a = t.a AND s.b = t.b"""
 
 
-FRAMES = "WITH f AS (SELECT label, vec_id, embedding[1]::DOUBLE AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM embeddings)"
+_WHOLE_PAIRS = "SELECT a, b, fa.cprint AS x, fb.cprint AS y FROM pairs"
+_SEEK = (40, 168)
+_SEEK_PAIRS = f"SELECT a, b, CASE WHEN len(fb.cprint) > len(fa.cprint) THEN fb.cprint ELSE fa.cprint END[{_SEEK[0] + 1}:{_SEEK[1]}] AS x, CASE WHEN len(fb.cprint) > len(fa.cprint) THEN fa.cprint ELSE fb.cprint END[{_SEEK[0] + 1}:{_SEEK[1]}] AS y FROM pairs"
 
 
-def frames(spark, sf_dir):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf_dir, "embeddings").selectExpr("label", "vec_id", "CAST(embedding[0] AS DOUBLE) AS v").withColumn("frame", (F.row_number().over(w) - 1).cast("long"))
+def _words(spark, sf_dir) -> DataFrame:
+    return neighbours(spark, sf_dir).selectExpr("a", "b", "fa.cprint AS x", "fb.cprint AS y")
 
 
-@query(FRAMES + """ SELECT label, vec_id, round(s, 9) AS smooth FROM (SELECT label, vec_id, frame, 0.25::DOUBLE * lag(v, 4) OVER w + 0.75::DOUBLE * lag(v, 3) OVER w + lag(v, 2) OVER w + 0.75::DOUBLE * lag(v, 1) OVER w + 0.25::DOUBLE * v AS s
-  FROM f WINDOW w AS (PARTITION BY label ORDER BY vec_id)) WHERE frame >= 4""")
-def fir_smooth(spark, sf_dir):
-    return signal.fir(frames(spark, sf_dir), "label", "vec_id", "v").select("label", "vec_id", F.round("smooth", 9).alias("smooth"))
-
-
-@query(FRAMES + " SELECT label, frame // 3 AS block, round(avg(v), 9) AS mean FROM f GROUP BY label, frame // 3 HAVING count(*) = 3")
-def decimate(spark, sf_dir):
-    return signal.decimate(frames(spark, sf_dir), "label", "frame", "v", 3).select("label", "block", F.round("mean", 9).alias("mean"))
-
-
-@query(FRAMES + " SELECT label, vec_id, round(sum(v) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING), 6) AS prefix FROM f")
-def prefix_sum(spark, sf_dir):
-    w = Window.partitionBy("label").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
-    return frames(spark, sf_dir).select("label", "vec_id", F.round(F.sum("v").over(w), 6).alias("prefix"))
+@query(_diagonals(_WHOLE_PAIRS, "<= 2", "coalesce(t.top, 0) / least(len(s.x), len(s.y))::DOUBLE"))
+def alignment_topcount(spark, sf_dir):
+    return alignment.aligned(_words(spark, sf_dir)).select("a", "b", F.round("score", 9).alias("score"))
 
 
-@query(FRAMES + """ SELECT label, vec_id, round(ln(1 + abs(late)) - ln(1 + abs(early)), 9) AS contrast FROM (SELECT label, vec_id, frame, sum(v) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS late,
-  sum(v) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 15 PRECEDING AND 8 PRECEDING) AS early FROM f) WHERE frame >= 15""")
-def rect_filters(spark, sf_dir):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    rows = frames(spark, sf_dir).withColumns({"late": F.sum("v").over(w.rowsBetween(-7, 0)), "early": F.sum("v").over(w.rowsBetween(-15, -8))}).where("frame >= 15")
-    return rows.select("label", "vec_id", F.round(F.log1p(F.abs("late")) - F.log1p(F.abs("early")), 9).alias("contrast"))
+@query(_diagonals(_SEEK_PAIRS, "<= 2", "CASE WHEN len(s.y) = 0 THEN 0::DOUBLE ELSE coalesce(t.top, 0) / len(s.y)::DOUBLE END"))
+def alignment_seek(spark, sf_dir):
+    """The longer print against the shorter one, between two places only."""
+    return alignment.aligned(_words(spark, sf_dir), seek=_SEEK).select("a", "b", F.round("score", 9).alias("score"))
 
 
-@query("""WITH b AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::DOUBLE AS bin FROM embeddings) SELECT vec_id, round(pow(regr_r2(x, bin), 0.25), 6) AS fit FROM b GROUP BY vec_id""")
-def linear_fit_quality(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "posexplode(embedding) AS (p, x)")
-    return rows.groupBy("vec_id").agg(F.round(F.pow(F.regr_r2(F.col("x").cast("double"), (F.col("p") + 1).cast("double")), F.lit(0.25)), 6).alias("fit"))
+@query(_diagonals(_WHOLE_PAIRS, "< 2", "CASE WHEN t.top IS NULL THEN 0::DOUBLE ELSE 1 - t.top / least(len(s.x), len(s.y))::DOUBLE END"))
+def alignment_distance(spark, sf_dir):
+    return alignment.aligned(_words(spark, sf_dir), strict=True).select("a", "b", F.round("score", 9).alias("score"))
 
 
-@query("WITH b AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS bin FROM embeddings) SELECT vec_id, (arg_max(bin, x) - 1)::BIGINT AS bin FROM b GROUP BY vec_id")
-def dominant_bin(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "posexplode(embedding) AS (p, x)")
-    return rows.groupBy("vec_id").agg(F.max_by("p", "x").cast("long").alias("bin"))
+@query(PRINTS + " SELECT soid, len(k) AS n, coalesce(list_sum(k), 0)::BIGINT AS word_sum FROM (SELECT soid, list_slice(cprint, CASE WHEN len(cprint) >= 944 THEN 705 WHEN len(cprint) >= 704 THEN 465 ELSE 1 END, CASE WHEN len(cprint) >= 944 THEN 944 WHEN len(cprint) >= 704 THEN 704 ELSE 240 END) AS k FROM fp)")
+def key_window(spark, sf_dir):
+    return prints(spark, sf_dir).selectExpr("soid", f"{scores.key_window('cprint')} AS k").selectExpr("soid", "CAST(size(k) AS BIGINT) AS n", f"{scores.total('k')} AS word_sum")
 
 
-@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, max(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS on_ FROM events) WHERE on_ = 1""")
-def silence_trim(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.max(F.when(F.col("value") > 50, 1).otherwise(0)).over(w).alias("on"))
-    return rows.where("on = 1").select("user_id", "event_id")
+@query(PRINTS + " SELECT soid, CASE WHEN list_sum(dom16) = 0 THEN 'silent track: dom is 0' WHEN len(cprint) < floor(least(CASE WHEN soid % 2 = 0 THEN songlen // 2 ELSE songlen END, 60) * 15.8::DOUBLE) THEN 'small print' END AS problem FROM fp")
+def bad_prints(spark, sf_dir):
+    """Every other song has a length of its own in the metadata; the print's counts for the rest."""
+    rows = prints(spark, sf_dir).withColumn("length", F.when(F.col("soid") % 2 == 0, F.expr("songlen div 2")))
+    return rows.selectExpr("soid", f"{scores.problem('dom16', 'cprint', 'length', 'songlen')} AS problem")
 
 
 @query(PRINTS + " SELECT soid, coalesce(list_sum(list_transform(range(1, len(cprint) + 1), lambda i: bit_count(xor(cprint[i], CASE WHEN i = 1 THEN 0 ELSE cprint[i - 1] END)))), 0)::BIGINT AS bits FROM fp")
@@ -388,91 +338,58 @@ def delta_xor(spark, sf_dir):
     return prints(spark, sf_dir).selectExpr("soid", "aggregate(transform(cprint, (x, i) -> CAST(bit_count(x ^ IF(i = 0, 0L, get(cprint, i - 1))) AS BIGINT)), 0L, (s, v) -> s + v) AS bits")
 
 
-@query("""WITH t AS (SELECT label, vec_id, embedding[1]::DOUBLE AS v FROM embeddings), p AS (SELECT x.label = y.label AS same, abs(x.v - y.v) AS d FROM t x JOIN t y ON x.vec_id < y.vec_id AND y.vec_id <= x.vec_id + 10)
-SELECT same, count(*) AS pairs, sum(CASE WHEN d < 0.1 THEN 1 ELSE 0 END)::BIGINT AS near FROM p GROUP BY same""")
-def confusion_eval(spark, sf_dir):
-    t = table(spark, sf_dir, "embeddings").selectExpr("label", "vec_id", "CAST(embedding[0] AS DOUBLE) AS v")
-    shifted = t.selectExpr("label AS l2", "v AS v2", "explode(sequence(vec_id - 10, vec_id - 1)) AS vec_id")
-    rows = t.join(shifted, "vec_id").selectExpr("label = l2 AS same", "abs(v - v2) AS d")
-    return rows.groupBy("same").agg(F.count("*").alias("pairs"), F.sum(F.when(F.col("d") < 0.1, 1).otherwise(0)).alias("near"))
-
+_STEPS = """, changed AS (SELECT soid, unnest(list_transform(range(1, len(cprint) + 1), lambda i: xor(cprint[i], CASE WHEN i = 1 THEN 0 ELSE cprint[i - 1] END))) AS x, generate_subscripts(cprint, 1) AS w FROM fp),
+placed AS (SELECT soid, w, p, lag(p, 1, 0) OVER (PARTITION BY soid, w ORDER BY p) AS q FROM (SELECT soid, w, x, unnest(range(1, 33)) AS p FROM changed) WHERE (x >> (p - 1)) & 1 = 1),
+steps AS (SELECT soid, w, p, p - q AS v FROM placed UNION ALL SELECT soid, w, 99, 0 FROM changed),
+shorts AS (SELECT soid, least(v, 7) AS v, row_number() OVER (PARTITION BY soid ORDER BY w, p) - 1 AS k FROM steps),
+longs AS (SELECT soid, v - 7 AS v, row_number() OVER (PARTITION BY soid ORDER BY w, p) - 1 AS k FROM steps WHERE v >= 7),
+bits AS (SELECT soid, 0 AS part, 3 * k + b AS pos, (v >> b) & 1 AS bit FROM shorts, range(0, 3) r(b) UNION ALL SELECT soid, 1, 5 * k + b, (v >> b) & 1 FROM longs, range(0, 5) r(b)),
+bytes AS (SELECT soid, part, pos // 8 AS k, sum(bit << (pos % 8))::BIGINT AS byte FROM bits GROUP BY soid, part, pos // 8),
+bodies AS (SELECT soid, string_agg(printf('%02X', byte), '' ORDER BY part, k) AS body FROM bytes GROUP BY soid)"""
 
-@query("""WITH t AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1)::BIGINT - 1 AS component FROM embeddings),
-p AS (SELECT x.component, x.label = y.label AS same, abs(x.v - y.v) AS d FROM t x JOIN t y ON x.component = y.component AND x.vec_id < y.vec_id)
-SELECT component, same, count(*) AS pairs, sum(CASE WHEN d < 0.1::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS near FROM p GROUP BY component, same""")
-def confusion_all_pairs(spark, sf_dir):
-    """As confusion_eval, over all pairs and every component."""
-    return confusion.all_pairs(table(spark, sf_dir, "embeddings"))
 
-
-@query("SELECT lang, source, count(*) AS n, min(doc_id) AS base, list_sort(list(doc_id))[1:3]::VARCHAR AS variants FROM documents GROUP BY lang, source")
-def group_variants_report(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").groupBy("lang", "source")
-    return rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("base"), F.slice(F.sort_array(F.collect_list("doc_id")), 1, 3).cast("string").alias("variants"))
-
-
-@query("SELECT lang, source, min(doc_id) OVER (PARTITION BY lang, source) AS base, doc_id FROM documents")
-def group_members(spark, sf_dir):
-    """Every member of a group with the group's base, one row a member."""
-    rows = table(spark, sf_dir, "documents").select("lang", "source", "doc_id")
-    bases = rows.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(F.min("doc_id").alias("base"))
-    both = rows.join(bases, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")))
-    return both.select("lang", "source", "base", "doc_id")
-
-
-@query("""SELECT path, name FROM (SELECT regexp_replace(url, '/+', '/', 'g') AS path, regexp_extract(url, '[^/]*$') AS name FROM pages) WHERE regexp_matches(name, '\\.html$|^[0-9]+$')""")
-def file_listing(spark, sf_dir):
-    paths = table(spark, sf_dir, "pages").select(files.normal_path(F.col("url")).alias("path"))
-    return files.listing(paths, [r"\.html$", r"^[0-9]+$"]).select("path", "name")
-
-
-@query()
-def lloyd_quantizer(spark, sf_dir):
-    cuts = signal.lloyd(table(spark, sf_dir, "events"), "value", 4)
-    return spark.createDataFrame([(k, float(c)) for k, c in enumerate(cuts)], "k int, threshold double")
-
-
-@query()
+@query(PRINTS + _STEPS + " SELECT f.soid, md5(printf('%08X', len(f.cprint)) || coalesce(b.body, '')) AS digest FROM fp f LEFT JOIN bodies b ON b.soid = f.soid")
 def compress_print(spark, sf_dir):
-    code = F.udf(lambda words: signal.compress(words), "binary", useArrow=True)
-    return prints(spark, sf_dir).select("soid", code("cprint").alias("code"))
+    code = prints(spark, sf_dir).selectExpr("soid", f"{signal.compressed('cprint')} AS code")
+    return code.select("soid", F.md5(F.encode(F.hex("code"), "UTF-8")).alias("digest"))
+
 
+# -- what an index does ---------------------------------------------------------------------------------------------------
 
-@query()
-def seq_ratio(spark, sf_dir):
-    titles = table(spark, sf_dir, "documents").selectExpr("doc_id", "split(text, '\\n')[0] AS title")
-    after = titles.selectExpr("doc_id - 1 AS doc_id", "title AS other")
-    return titles.join(after, "doc_id").select("doc_id", ratio("title", "other").alias("ratio"))
+_TEN_PAIRS = ", pairs AS (SELECT x.soid AS a, u.ten AS b, x AS fa, u AS fb FROM fp x JOIN u ON u.ten = x.ten + 1)"
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Likeness of two texts by their longest common blocks."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+def _print_in_ten(spark, sf_dir) -> DataFrame:
+    """Each print (fa) with the union of the ten after its own (fb)."""
+    one = prints(spark, sf_dir).select(F.col("soid").alias("a"), (F.expr("soid div 10") + 1).alias("b"), F.struct(*FIELDS).alias("fa"))
+    return one.join(tens(spark, sf_dir).select(F.col("ten").alias("b"), F.col("u").alias("fb")), "b")
 
 
-# -- relational work around the fingerprints ------------------------------------------------------------------------------
+_DESCEND = """CASE WHEN q BETWEEN lo AND hi THEN score > CASE WHEN q > 150 THEN 0.10::DOUBLE WHEN q > 40 AND q < 46 THEN 0.03::DOUBLE ELSE 0.08::DOUBLE END
+  WHEN q < 61 THEN gap < CASE WHEN q < 30 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AND score > 0.08::DOUBLE
+  WHEN q < 155 THEN gap < CASE WHEN q < 110 THEN 0.07::DOUBLE ELSE 0.05::DOUBLE END AND score > CASE WHEN q > 150 THEN 0.15::DOUBLE ELSE 0.08::DOUBLE END ELSE false END"""
+_SCORED_IN = _contained_sql("pairs", "fa", "fb").replace("SELECT a, b, round(", "SELECT a, b, q, lo, hi, (", 1).replace(", 9) AS score", ") AS score", 1).replace("(SELECT a, b, CASE", "(SELECT a, b, fa.songlen AS q, fb.min_songlen AS lo, fb.max_songlen AS hi, CASE", 1)
 
 
-@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")
-def filter_project_group(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp")).groupBy("l_returnflag", "l_linestatus")
-    return rows.agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+@query(_TEN_PRINTS + _TENS + _TEN_PAIRS + f", s AS ({_SCORED_IN}), g AS (SELECT *, CASE WHEN q < lo THEN (lo - q) / lo::DOUBLE ELSE (q - hi) / q::DOUBLE END AS gap FROM s) SELECT a, b, {_DESCEND} AS descend FROM g")
+def node_prune_rule(spark, sf_dir):
+    rows = _print_in_ten(spark, sf_dir).selectExpr("a", "b", "fa.songlen AS q", "fb.min_songlen AS lo", "fb.max_songlen AS hi", f"{scores.contained('fa', 'fb')} AS share")
+    return rows.selectExpr("a", "b", f"{index.descend('q', 'lo', 'hi', 'share')} AS descend")
 
 
-@query("SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
-def join_group(spark, sf_dir):
-    t = lambda n: table(spark, sf_dir, n)
-    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+@query(_TEN_PRINTS + _TENS + _TEN_PAIRS + f", s AS ({_SCORED_IN}), g AS (SELECT *, greatest(hi, q) - least(lo, q) AS grown FROM s) SELECT a, b, round(CASE WHEN score > 0 THEN (1 - score) * 100 ELSE 100 END + CASE WHEN grown > 0 THEN (grown - (hi - lo)) / grown::DOUBLE * 2000 ELSE 0 END, 6) AS penalty FROM g")
+def insert_penalty(spark, sf_dir):
+    return _print_in_ten(spark, sf_dir).selectExpr("a", "b", f"round({index.penalty('fb', 'fa')}, 6) AS penalty")
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
-def anti_join(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
+@query("""WITH e AS (SELECT doc_id // 10 AS node, doc_id AS soid, n_chars AS songlen FROM documents),
+w AS (SELECT node, soid, songlen, min(songlen) OVER (PARTITION BY node) AS lo, max(songlen) OVER (PARTITION BY node) AS hi, count(*) OVER (PARTITION BY node) AS n, row_number() OVER (PARTITION BY node ORDER BY songlen, soid) AS pos FROM e)
+SELECT node, soid, CASE WHEN lo = hi THEN CASE WHEN pos * 2 <= n + n % 2 THEN 0 ELSE 1 END WHEN songlen - lo <= hi - songlen THEN 0 ELSE 1 END AS side FROM w""")
+def node_split(spark, sf_dir):
+    return index.split(prints(spark, sf_dir).selectExpr("soid div 10 AS node", "soid", "songlen"), "node").select("node", "soid", "side")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
-def top_orders(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+@query(NEXT + " SELECT a, b, (fa.r32 = fb.r32 AND fa.dom16 = fb.dom16 AND fa.cprint = fb.cprint AND fa.songlen = fb.songlen AND fa.bit_rate = fb.bit_rate AND fa.num_errors = fb.num_errors) AS same, fa.r32 = fb.r32 AND fa.dom16 = fb.dom16 AND fa.cprint = fb.cprint AS same_words FROM pairs")
+def print_same(spark, sf_dir):
+    part = lambda f: f"struct({f}.r32, {f}.dom16, {f}.cprint)"
+    return neighbours(spark, sf_dir).selectExpr("a", "b", f"{index.same('fa', 'fb')} AS same", f"{index.same(part('fa'), part('fb'))} AS same_words")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import posixpath
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,22 +16,68 @@ def normal_path(path: Column) -> Column:
     return F.concat(F.when(slashed.rlike("^//[^/]"), "/").otherwise(""), F.regexp_replace(slashed, "/+", "/"))
 
 
-def listing(paths: DataFrame, patterns: list[str], column: str = "path", limit: int = -1, descending: bool = False) -> DataFrame:
-    """Paths whose base name holds any of the patterns (regular expressions, searched), by base name; limit < 0: all."""
-    name = F.element_at(F.split(normal_path(F.col(column)), "/"), -1)
-    kept = paths.withColumn("name", name).where(F.col("name").rlike("|".join(f"(?:{p})" for p in patterns)))
+def local_path(path: str) -> str:
+    """A path of this machine with ~, variables and links resolved."""
+    return os.path.realpath(os.path.expandvars(os.path.expanduser(path)))
+
+
+def joined(*parts: str) -> str:
+    """Parts of a path joined by single slashes; an absolute part starts anew."""
+    return posixpath.join(*[p.replace("\\", "/") for p in parts])
+
+
+def whole(pattern: str) -> str:
+    """A pattern that must match all of a name, where patterns are otherwise searched for."""
+    return f"^(?:{pattern})$"
+
+
+def _matcher(patterns: list, name: Column) -> Column:
+    """Any of the patterns: regular expressions, compiled ones, or functions from a column to a condition."""
+    texts = [p if isinstance(p, str) else ("(?i)" if p.flags & 2 else "") + p.pattern for p in patterns if not callable(p)]
+    found = name.rlike("|".join(f"(?:{p})" for p in texts)) if texts else F.lit(False)
+    for p in patterns:
+        if callable(p):
+            found = found | p(name)
+    return found
+
+
+def listing(paths: DataFrame, patterns: list, column: str = "path", limit: int = -1, descending: bool = False, exclude: list | None = None, max_depth: int = -1, top: str = "") -> DataFrame:
+    """Paths whose base name fits any of the patterns, by base name, with their folder's depth below the folder `top`.
+
+    Whatever lies under a folder that fits a pattern of exclude is left out, as are paths below max_depth folders (< 0: no
+    bound); limit < 0: all, 0: none.
+    """
+    parts = F.split(normal_path(F.col(column)), "/")
+    dirs = F.slice(parts, 1, F.size(parts) - 1)
+    above = len(top.rstrip("/").split("/")) if top else 0
+    kept = paths.withColumns({"name": F.element_at(parts, -1), "depth": F.size(parts) - 1 - above})
+    kept = kept.where(_matcher(patterns, F.col("name")))
+    if exclude:
+        kept = kept.where(~F.exists(F.slice(dirs, above + 1, F.greatest(F.lit(0), F.size(dirs) - above)), lambda d: _matcher(exclude, d)))
+    if max_depth >= 0:
+        kept = kept.where(F.col("depth") <= max_depth)
     kept = kept.orderBy(F.col("name").desc() if descending else F.col("name").asc(), column)
     return kept if limit < 0 else kept.limit(limit)
 
 
-def find_files(spark: SparkSession, root: str, patterns: list[str], limit: int = -1) -> DataFrame:
-    """(path, modificationTime, length, name) under root; contents are never read."""
+def by_folder(listed: DataFrame, column: str = "path") -> DataFrame:
+    """(dir, names): the hierarchy of a listing, one row a folder."""
+    folder = F.regexp_replace(F.col(column), r"/?[^/]*$", "").alias("dir")
+    return listed.groupBy(folder).agg(F.sort_array(F.collect_list("name")).alias("names"))
+
+
+def find_files(spark: SparkSession, root: str, patterns: list, limit: int = -1, **options) -> DataFrame:
+    """(path, modificationTime, length, name, depth) under root; contents are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return listing(files.select("path", "modificationTime", "length"), patterns, limit=limit)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return listing(files.select("path", "modificationTime", "length"), patterns, limit=limit, top=re.sub("/+", "/", top), **options)
 
 
-def newest_files(spark: SparkSession, root: str, patterns: list[str], limit: int = -1) -> DataFrame:
-    out = find_files(spark, root, patterns).orderBy(F.desc("modificationTime"), "path")
+def newest_files(spark: SparkSession, root: str, patterns: list, limit: int = -1, descending: bool = True, **options) -> DataFrame:
+    """Files by time of modification, the newest first unless asked otherwise."""
+    time = F.col("modificationTime")
+    out = find_files(spark, root, patterns, **options).orderBy(time.desc() if descending else time.asc(), "path")
     return out if limit < 0 else out.limit(limit)
 
 
@@ -65,7 +115,3 @@ def dump_block() -> Column:
     keys = [F.concat(F.lit(k + "="), F.coalesce(F.col(k.lower()).cast("string"), F.lit(""))) for k in ("ARTIST", "TITLE", "ALBUM", "LENGTH", "BITRATE", "FORMAT")]
     words = F.concat(F.lit("FINGERPRINT="), F.array_join(F.transform("cprint", lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), " "))
     return F.concat_ws("\n", *keys, words, F.lit(""))
-
-
-def write_report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
