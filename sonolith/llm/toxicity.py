@@ -1,10 +1,11 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling (operator 6), in numpy.
 
-Inputs of a step are a word vector and the mean of the word's character-bigram vectors. Windows of WINDOW words start
-every STRIDE words, so windows overlap and cover the whole text; the network reads each in both directions, attention
-pools its states, and a text's score comes from its most toxic window. Training is on a bounded sample of labelled
-documents (multiple-instance: the gradient flows through each document's highest window); scoring is one pass without
-a shuffle over the broadcast weights, whose size FIT_WORDS and the layer sizes bound.
+Inputs of a step are a learned word vector and the mean of the word's learned character-bigram vectors; nothing about
+words is counted beforehand but which ones have a vector. Windows of WINDOW words start every STRIDE words, so windows
+overlap and cover the whole text; the network reads each in both directions, attention pools its states, and a text's
+score comes from its most toxic window. Training is on a bounded sample of labelled documents (multiple-instance: the
+gradient flows through each document's highest windows and a random one); scoring is one pass without a shuffle over
+the broadcast weights, whose size FIT_WORDS and the layer sizes bound.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from .common import claim_memory, pieces
 #: Bounds of the training sample: documents (by least hash of their id), characters of one, and words kept.
 FIT_DOCS, FIT_CHARS, FIT_WORDS = 4000, 20_000, 20_000
 WINDOW, STRIDE = 64, 32
-HIDDEN, WORD_DIM, CHAR_DIM, BIGRAMS = 8, 8, 8, 1024
+HIDDEN, WORD_DIM, CHAR_DIM, BIGRAMS = 12, 12, 8, 1024
 THRESHOLD = 0.3
+STEPS = 350
 CACHE_WORDS, GROUP_WORDS = 100_000, 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -80,7 +82,7 @@ class Network:
 
     def vectors(self, ids: np.ndarray, pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Inputs of words from their rows in `word` and their bigrams."""
-        chars = np.add.reduceat(self.p["char"][pair], np.concatenate(([0], np.cumsum(n)[:-1])), axis=0) / n[:, None]
+        chars = np.add.reduceat(self.p["char"][pair], np.concatenate(([0], np.cumsum(n)[:-1])), axis=0) / n[:, None].astype(np.float32)
         return np.concatenate((self.p["word"][ids], chars), axis=1), ids, pair, n
 
     # -- scoring -----------------------------------------------------------------------------------------------------
@@ -192,31 +194,10 @@ class Network:
 # -- training ------------------------------------------------------------------------------------------------------------
 
 
-def _near_copies(docs: list[list[str]]) -> list[bool]:
-    """False for documents whose two least word hashes repeat an earlier one's: copies would fake evidence."""
-    import zlib
-
-    seen, out = set(), []
-    for d in docs:
-        h = sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in d})[:2]
-        out.append(tuple(h) not in seen)
-        seen.add(tuple(h))
-    return out
-
-
-def _evidence(docs: list[list[str]], y: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-    """Words in at least three documents and how far their (shrunk) share of toxic documents is from the mean."""
-    toxic, whole = Counter(), Counter()
-    for d, label in zip(docs, y):
-        own = set(d)
-        whole.update(own)
-        if label:
-            toxic.update(own)
-    kept = [w for w, n in whole.most_common(FIT_WORDS) if n >= 3]
-    base = min(max(y.mean(), 0.01), 0.99)
-    rate = np.array([(toxic[w] + 10 * base) / (whole[w] + 10) for w in kept])
-    told = np.log(rate / (1 - rate)) - math.log(base / (1 - base))
-    return {w: k + 1 for k, w in enumerate(kept)}, np.concatenate(([0.0], told)).astype(np.float32)
+def _known(held: Counter, least: int) -> dict[str, int]:
+    """Rows of the words that have a vector of their own: those that `least` documents hold, the most common first."""
+    kept = sorted((w for w, n in held.items() if n >= least), key=lambda w: (-held[w], w))[:FIT_WORDS]
+    return {w: k + 1 for k, w in enumerate(kept)}
 
 
 def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -224,8 +205,8 @@ def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(rows, values[:, c], n) for c in range(values.shape[1])], axis=1).astype(np.float32)
 
 
-def _train_step(net: Network, idx: np.ndarray, inputs: tuple, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean cross-entropy over windows idx (rows are 1 + places in inputs)."""
+def _train_step(net: Network, idx: np.ndarray, inputs: tuple, y: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Gradients of the (weighted) mean cross-entropy over windows idx (rows are 1 + places in inputs)."""
     p, (n, steps) = net.p, idx.shape
     x, ids, pair, count = inputs
     x0 = np.concatenate((np.zeros((1, x.shape[1]), np.float32), x))[idx]  # n, steps, inputs
@@ -248,7 +229,7 @@ def _train_step(net: Network, idx: np.ndarray, inputs: tuple, y: np.ndarray) ->
     share = share / share.sum(axis=1, keepdims=True) * mask
     pooled = np.einsum("nt,nth->nh", share, states)
     logit = pooled @ p["out"] + p["bias"][0]
-    g = (1 / (1 + np.exp(-logit)) - y) / n
+    g = ((1 / (1 + np.exp(-logit)) - y) * (1 / n if weight is None else weight / weight.sum())).astype(logit.dtype)
     grad = {"bias": np.array([g.sum()]), "out": pooled.T @ g}
     d_pool = g[:, None] * p["out"]
     d_share = np.einsum("nh,nth->nt", d_pool, states)
@@ -272,59 +253,94 @@ def _train_step(net: Network, idx: np.ndarray, inputs: tuple, y: np.ndarray) ->
         d_x += d_a @ p["wx"][d].T
     per_word = _scatter(idx.ravel(), d_x.reshape(-1, x.shape[1]), len(x) + 1)[1:]
     grad["word"] = _scatter(ids, per_word[:, :WORD_DIM], len(p["word"]))
-    grad["word"][:, 0] = 0  # the evidence stays as counted
     grad["char"] = _scatter(pair, np.repeat(per_word[:, WORD_DIM:] / count[:, None], count, axis=0), BIGRAMS)
     return grad
 
 
-def train(texts: list[str], labels: list[int], steps: int = 350, batch: int = 64, seed: int = 7, rate: float = 0.01) -> Network:
-    """Network fitted to texts and their 0/1 labels. With one class only every score is that class's share."""
+def _initial(rng: np.random.Generator, words: int, prior: float) -> dict[str, np.ndarray]:
+    draw = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
+    size = WORD_DIM + CHAR_DIM
+    return {
+        "word": draw(WORD_SCALE, words, WORD_DIM), "char": draw(0.3, BIGRAMS, CHAR_DIM), "wx": draw(1 / math.sqrt(size), 2, size, 3 * HIDDEN), "wh": draw(0.5 / math.sqrt(HIDDEN), 2, HIDDEN, 3 * HIDDEN),
+        "b": np.zeros((2, 3 * HIDDEN), np.float32), "att": draw(0.3, 2 * HIDDEN), "out": draw(0.3, 2 * HIDDEN), "bias": np.array([math.log(prior / (1 - prior))], np.float32),
+    }
+
+
+#: Learning rate of word vectors against that of the layers (a word is seen far less often than a gate), their first
+#: scale, and how many documents a word must have for even odds of being taken as known in a batch.
+WORD_RATE, WORD_SCALE, DOUBT = 6.0, 0.1, 1.0
+
+
+def train(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 48, seed: int = 7, rate: float = 0.015) -> Network:
+    """Network fitted to texts and their 0/1 labels. With one class only every score is that class's share.
+
+    A third of each batch is toxic, and the bias is put right for the true share afterwards. Of a toxic document the
+    highest window learns (at first often a random one), of any other the highest and a random one.
+    """
     docs = [words_of(t) for t in texts]
-    unique = _near_copies(docs)
-    docs, y = [d for d, u in zip(docs, unique) if u and d], np.array([v for v, u, d in zip(labels, unique, docs) if u and d], np.float32)
+    y = np.array([v for v, d in zip(labels, docs) if d], np.float32)
+    docs = [d for d in docs if d]
     if not len(y) or y.min() == y.max():
         return Network({}, {}, float(np.mean(labels)) if labels else 0.0)
     rng = np.random.default_rng(seed)
-    vocab, told = _evidence(docs, y)
-    word = rng.normal(0, 0.02, (len(told), WORD_DIM)).astype(np.float32)
-    word[:, 0] = told
-    size = WORD_DIM + CHAR_DIM
-    f = lambda *s: rng.normal(0, 0.3 / math.sqrt(s[-2]) if len(s) > 1 else 0.3, s).astype(np.float32)
-    p = {"word": word, "char": f(BIGRAMS, CHAR_DIM), "wx": f(2, size, 3 * HIDDEN) * 2, "wh": f(2, HIDDEN, 3 * HIDDEN), "b": np.zeros((2, 3 * HIDDEN), np.float32), "att": f(2 * HIDDEN), "out": f(2 * HIDDEN), "bias": np.array([math.log(y.mean() / (1 - y.mean()))], np.float32)}
+    held = Counter()
+    for d in docs:
+        held.update(set(d))
+    vocab = _known(held, 2)
+    p = _initial(rng, len(vocab) + 1, 1 / 3)
     net, mean, var = Network(vocab, p), {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     every = sorted({w for d in docs for w in d})
     place = {w: i for i, w in enumerate(every)}
     numbers = [np.array([place[w] for w in d]) for d in docs]
     known, (pair, count) = np.array([vocab.get(w, 0) for w in every]), bigrams(every)
     first = np.concatenate(([0], np.cumsum(count)[:-1]))
-    order, at = rng.permutation(len(docs)), 0
-    average, averaged = {k: np.zeros_like(v) for k, v in p.items()}, 0
+    unknown = DOUBT / (DOUBT + np.array([held[w] for w in every], np.float64))  # a word of few documents is often taken for an unknown one
+    toxic, clean = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
+    n_toxic = max(1, batch // 3)
+    average, averaged = {k: np.zeros_like(v, np.float64) for k, v in p.items()}, 0
+    queue = {0: np.zeros(0, np.int64), 1: np.zeros(0, np.int64)}
+
+    def take(kind: int, n: int) -> np.ndarray:
+        while len(queue[kind]) < n:
+            queue[kind] = np.concatenate((queue[kind], rng.permutation(toxic if kind else clean)))
+        out, queue[kind] = queue[kind][:n], queue[kind][n:]
+        return out
+
     for step in range(1, steps + 1):
-        if at + batch > len(order):
-            order, at = rng.permutation(len(docs)), 0
-        chosen = order[at : at + batch]
-        at += batch
+        chosen = np.concatenate((take(1, n_toxic), take(0, batch - n_toxic)))
         own = np.unique(np.concatenate([numbers[k] for k in chosen]))
-        take = np.repeat(first[own] - np.concatenate(([0], np.cumsum(count[own])[:-1])), count[own]) + np.arange(count[own].sum())
-        inputs = net.vectors(known[own], pair[take], count[own])
+        pairs = np.repeat(first[own] - np.concatenate(([0], np.cumsum(count[own])[:-1])), count[own]) + np.arange(count[own].sum())
+        ids = np.where(rng.random(len(own)) < unknown[own], 0, known[own])
+        inputs = net.vectors(ids, pair[pairs], count[own])
         gates = np.concatenate((np.zeros((2, 1, 3 * HIDDEN), np.float32), np.matmul(inputs[0][None], p["wx"]) + p["b"][:, None]), axis=1)
         cuts = [cut(np.searchsorted(own, numbers[k]) + 1) for k in chosen]
-        logit, best, seen = net.window_logits(np.concatenate(cuts), gates), [], 0
-        for c in cuts:
-            best.append(c[int(logit[seen : seen + len(c)].argmax())])
+        logit, seen = net.window_logits(np.concatenate(cuts), gates), 0
+        rows, told, weight = [], [], []
+        for k, c in zip(chosen, cuts):
+            best = int(logit[seen : seen + len(c)].argmax())
             seen += len(c)
-        grad = _train_step(net, np.array(best), inputs, y[chosen])
-        now = rate * min(1, step / 20) * (1 - 0.9 * step / steps)
+            other = int(rng.integers(len(c)))
+            if y[k]:
+                rows.append(c[other if rng.random() < 0.5 * (1 - 3 * step / steps) else best])
+                weight.append(1.0)
+            else:
+                rows += [c[best], c[other]]
+                weight += [0.6, 0.4]
+            told += [y[k]] * (len(rows) - len(told))
+        grad = _train_step(net, np.array(rows), inputs, np.array(told, np.float32), np.array(weight, np.float32))
+        now = rate * min(1, step / 20) * (1 - 0.95 * step / steps)
         for k in p:
             g = grad[k].astype(np.float32) + (1e-4 * p[k] if k in ("wx", "wh", "out", "att") else 0)
             mean[k] += 0.1 * (g - mean[k])
             var[k] += 0.01 * (g * g - var[k])
-            p[k] -= (now * (0.3 if k in ("word", "char") else 1) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-        if step > steps * 0.7:
+            p[k] -= (now * (WORD_RATE if k == "word" else 1) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        if step > steps * 0.8:
             averaged += 1
             for k in p:
                 average[k] += (p[k] - average[k]) / averaged
-    net.p = average
+    net.p = {k: v.astype(np.float32) for k, v in average.items()}
+    share, used = y.mean(), n_toxic / batch
+    net.p["bias"] = net.p["bias"] + np.float32(math.log(share / (1 - share)) - math.log(used / (1 - used)))
     return net
 
 
