@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialise, shared_dir  # noqa: F401
+
 #: The ASCII white space that separates words in every contract of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,33 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) one of our own."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = spark.conf.get("sonolith.local.scratch", None)
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="sonolith-")
-        spark.conf.set("sonolith.local.scratch", set_dir)
-    return set_dir.rstrip("/")
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._sonolith_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a table that materialise() wrote and that nothing lazy still reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._sonolith_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -62,6 +35,54 @@ def small_side(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
     return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
+def join_unique(big: DataFrame, small: DataFrame, keys: str | list[str], how: str = "left") -> DataFrame:
+    """Equi-join (left or inner) of big with small, which has one row a key at most.
+
+    A key with more than a quarter of a partition's share of big's rows is hot; there are fewer than four a partition of
+    those, so their rows of small are broadcast and no hot key goes through the shuffle. Both sides should be written
+    tables, as they are read more than once. Null keys match nothing, and with `left` never travel.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    parts = partitions(big)
+    known = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    bound = max(16, big.count() // (4 * parts))
+    hot = big.where(known).groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > bound).select(*keys)
+    out = [big.where(known).join(small, keys, how)]
+    few = hot.collect()  # fewer than 4 * parts keys
+    if few:
+        hot = F.broadcast(big.sparkSession.createDataFrame([tuple(r) for r in few], hot.schema))
+        some = F.broadcast(small.join(hot, keys, "left_semi"))
+        cold = big.where(known).join(hot, keys, "left_anti").join(small, keys, how)
+        out = [big.join(hot, keys, "left_semi").join(some, keys, how), cold]
+    if how == "left":
+        more = [c for c in small.columns if c not in keys]
+        types = dict(small.dtypes)
+        lost = big.where(f"NOT ({known})").select(*keys, *[c for c in big.columns if c not in keys], *[F.lit(None).cast(types[c]).alias(c) for c in more])
+        out.append(lost)
+    whole = out[0]
+    for o in out[1:]:
+        whole = whole.unionByName(o)
+    return whole
+
+
+def attach(big: DataFrame, small: DataFrame, keys: str | list[str]) -> DataFrame:
+    """Left join of big with small (one row a key, a written table): broadcast where it has few rows, else by join_unique."""
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), keys, "left")
+    return join_unique(materialise(big, "big"), small, keys)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate value once and use it many times inside body (Catalyst would inline a plain alias into lambdas)."""
     return F.transform(F.array(value), body)[0]
@@ -152,3 +173,10 @@ def chain(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(label, kind="stable")
     same = label[order][1:] == label[order][:-1]
     return order[:-1][same], order[1:][same]
+
+
+def text_key(c: Column, kind: str) -> Column:
+    """A string that tells values of any type apart; null stays null."""
+    if kind == "binary":
+        return F.hex(c)
+    return F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v")))) if kind.startswith(("array", "struct", "map", "variant")) else c.cast("string")

@@ -3,8 +3,9 @@
 Randomised contraction: every round each node moves to the neighbour (or itself) with the least hash of the round, the
 edges are rewritten to the new nodes and deduplicated. A constant share of the nodes disappears each round whatever the
 ids look like, so the number of rounds is logarithmic. Every round is two equi-joins and two pre-aggregated group-bys;
-rounds are written to the shared folder, so lineage stays short and a lost executor costs one round at most. Nothing
-but two counters reaches the driver.
+rounds are written to the shared folder, so lineage stays short and a lost executor costs one round at most. Nodes of
+very many edges are never a shuffle's hot key: their few moves are broadcast. Nothing but counters and those reaches
+the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, join_unique, materialise
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -30,24 +31,25 @@ def connected(edges: DataFrame) -> DataFrame:
         move = materialise(
             both.groupBy("a").agg(F.min(rank).alias("m")).select("a", F.least("m", own)["to"].alias("to")), "moves"
         )
-        to_a, to_b = move.withColumnRenamed("to", "ta"), move.select(F.col("a").alias("b"), F.col("to").alias("tb"))
-        after = live.join(to_a, "a").join(to_b, "b").where("ta <> tb")
+        half = materialise(join_unique(live, move.withColumnRenamed("to", "ta"), "a", "inner").select("ta", "b"), "half")
+        after = join_unique(half, move.select(F.col("a").alias("b"), F.col("to").alias("tb")), "b", "inner").where("ta <> tb")
         after = after.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
         after = materialise(after, "edges")
         discard(live)
+        discard(half)
         live, rnd = after, rnd + 1
         moves.append(move)
     if not moves:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = moves[0].select(F.col("a").alias("node"), F.col("to").alias("root"))
-    for move in moves[1:]:
-        step = move.select(F.col("a").alias("root"), "to")
-        out = out.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return out
+    roots = moves[-1].toDF("node", "root")
+    for move in reversed(moves[:-1]):  # from the few nodes of the last round to all of them
+        step = join_unique(move.toDF("node", "to"), roots.toDF("to", "root"), "to").select("node", F.coalesce("root", "to").alias("root"))
+        roots = materialise(step, "roots")
+    return roots
 
 
 def smallest(members: DataFrame, roots: DataFrame) -> DataFrame:
     """members (node, id), roots of connected() -> (node, component_id): the smallest id of each component."""
-    placed = members.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    return placed.join(least, "root").select("node", "component_id")
+    placed = materialise(members.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "placed")
+    least = materialise(placed.groupBy("root").agg(F.min("id").alias("component_id")), "least")
+    return join_unique(placed, least, "root", "inner").select("node", "component_id")
