@@ -3,7 +3,8 @@
 For each site the share of its pages that hold a line is the line's page count over the site's page count; lines whose
 share exceeds `ratio` are boilerplate and go. Lines travel as 64-bit hashes only: one pass counts (site, line) with
 map-side combination, the few boilerplate hashes (at most pages' mean number of lines / ratio for each site) are
-written, and a second pass over the texts drops them in place, so no text is ever shuffled.
+written, and a second pass over the texts drops them in place. Up to BROADCAST_LINES hashes no text is ever shuffled;
+beyond, texts meet their site's hashes by (site, salt), with as many salts as the site has SALT_PAGES pages.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import BROADCAST_ROWS, fresh, let, materialise, partitions
 
 RATIO = 0.05
 MIN_SITE_PAGES = 20
@@ -19,8 +20,7 @@ MIN_LINE_PAGES = 3
 #: A line of more words than this counts as a passage; the pipeline's stage drops it from MIN_LINE_PAGES pages of a site on.
 LONG_WORDS = 20
 #: Boilerplate hashes (8 bytes each, grouped by site) up to which their table is broadcast; beyond it a salted join.
-BROADCAST_LINES = 500_000
-SALT = 64
+BROADCAST_LINES, SALT_PAGES = 4_000_000, 20_000
 
 
 def _line_key(line: Column, long_words: int | None = None) -> Column:
@@ -34,18 +34,19 @@ def _line_key(line: Column, long_words: int | None = None) -> Column:
 
 
 def boilerplate(docs: DataFrame, site: str, text: str, ratio: float, min_site_pages: int, min_line_pages: int, long_words: int | None = None) -> DataFrame:
-    """(site, line long) of the lines that are on more than `ratio` of their site's pages, or longer than long_words."""
+    """(site, line long, pages of the site) of the lines that are on more than `ratio` of their site's pages, or longer than long_words."""
     keys = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), lambda line: _line_key(line, long_words)), lambda k: k.isNotNull()))
     # one row per page stands for the page itself: line is null there
     rows = docs.select(F.col(site).alias("site"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(keys, F.array().cast("array<bigint>")))).alias("line"))
     counts = materialise(rows.groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("line").isNull() | (F.col("n") >= min_line_pages)), "lines")
-    pages = counts.where("line IS NULL").select(F.col("site").alias("s"), F.col("n").alias("pages"))
+    pages = materialise(counts.where("line IS NULL").select(F.col("site").alias("s"), F.col("n").alias("pages")), "pages")
     lines = counts.where("line IS NOT NULL")
-    held = lines.join(pages, F.col("site").eqNullSafe(F.col("s")))
+    small = F.broadcast(pages) if pages.count() <= BROADCAST_ROWS else pages  # a site's lines are spread by AQE beyond
+    held = lines.join(small, F.col("site").eqNullSafe(F.col("s")))
     often = F.col("n") > F.col("pages") * ratio
     if long_words is not None:
         often |= F.col("line").bitwiseAND(F.lit(1)) == 1
-    return held.where((F.col("pages") >= min_site_pages) & often).select("site", "line")
+    return held.where((F.col("pages") >= min_site_pages) & often).select("site", "line", "pages")
 
 
 def dedup_lines(
@@ -63,18 +64,39 @@ def dedup_lines(
     """
     bad = materialise(boilerplate(docs, site, text, ratio, min_site_pages, min_line_pages, long_words), "boilerplate")
     n_bad = bad.count()
-    by_site = bad.groupBy(F.col("site").alias("_site")).agg(F.sort_array(F.collect_set("line")).alias("_bad"))
+    site_, bad_, salt_, salt2_, told_ = fresh(docs, "_site", "_bad", "_salt", "_salt2", "_told")
+    by_site = bad.groupBy(F.col("site").alias(site_)).agg(F.sort_array(F.collect_set("line")).alias(bad_), F.max("pages").alias("pages"))
+    same = F.col(site).eqNullSafe(F.col(site_))
     if n_bad <= BROADCAST_LINES:
-        joined = docs.join(F.broadcast(by_site), F.col(site).eqNullSafe(F.col("_site")), "left")
+        joined = docs.join(F.broadcast(by_site.drop("pages")), same, "left")
     else:
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALT)))
-        copies = by_site.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-        copies = copies.repartition(partitions(docs), "_site", "_salt2")
-        joined = salted.join(copies, F.col(site).eqNullSafe(F.col("_site")) & (F.col("_salt") == F.col("_salt2")), "left")
+        salts = F.ceil(F.col("pages") / SALT_PAGES).cast("int")
+        big = materialise(by_site.where(F.col("pages") > SALT_PAGES).select(site_, salts.alias(salt2_)), "salts")  # a site for SALT_PAGES rows at most
+        big = F.broadcast(big) if big.count() <= BROADCAST_ROWS else big
+        salted = docs.join(big, same, "left").drop(site_)
+        salted = salted.withColumn(salt_, F.pmod(F.xxhash64(text), F.coalesce(F.col(salt2_), F.lit(1))).cast("int")).drop(salt2_)
+        copies = by_site.withColumn(salt2_, F.explode(F.sequence(F.lit(0), salts - 1))).drop("pages").repartition(partitions(docs), site_, salt2_)
+        joined = salted.join(copies, same & (F.col(salt_) == F.col(salt2_)), "left")
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda line: F.coalesce(~F.array_contains("_bad", _line_key(line, long_words)), F.lit(True)))
-    out = joined.withColumn("_kept", F.when(F.col("_bad").isNull(), lines).otherwise(kept))
-    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines))
-    out = out.withColumns({"n_lines": n_lines, "n_dropped": n_lines - F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_kept"))})
-    out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text)))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+
+    def cleaned(ls: Column, keys: Column) -> Column:
+        """Struct (n, gone, kept): lines, dropped ones, and the text of the rest; the few bad hashes of a page are found by
+        one hash intersection."""
+        here = F.array_intersect(F.array_compact(keys), F.col(bad_))
+        keep = let(here, lambda h: F.filter(F.transform(ls, lambda line, k: F.when(F.coalesce(~F.array_contains(h, F.get(keys, k)), F.lit(True)), line)), lambda line: line.isNotNull()))
+        return let(keep, lambda kept: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(kept)).alias("gone"), F.array_join(kept, "\n").alias("text")))
+
+    told = let(lines, lambda ls: let(F.transform(ls, lambda line: _line_key(line, long_words)), lambda keys: cleaned(ls, keys)))
+    plain = F.struct(F.size(lines).alias("n"), F.lit(0).alias("gone"), F.lit("").alias("text"))
+    out = joined.withColumn(told_, F.when(F.col(text).isNull(), F.lit(None)).when(F.col(bad_).isNull(), plain).otherwise(told))
+    t = F.col(told_)
+    new = F.when(t["gone"] > 0, t["text"]).otherwise(F.col(text)).alias(text)
+    numbers = [F.coalesce(t["n"], F.lit(0)).alias("n_lines"), F.coalesce(t["gone"], F.lit(0)).alias("n_dropped")]
+    return out.select(*[new if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")], *numbers)
+
+
+def by_host(pages: DataFrame, url: str = "url", text: str = "html", **options) -> DataFrame:
+    """dedup_lines with the host of each page's url as its site (a column `host`; pages without a host share one)."""
+    from .urlfilter import host_of
+
+    return dedup_lines(pages.withColumn("host", host_of(F.col(url))), "host", text, **options)
