@@ -88,18 +88,19 @@ def _blocks(docs: DataFrame) -> Column:
     return at * step + F.coalesce(below(F.get(lit(fine, "array<array<bigint>>"), at)), F.lit(0))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) with column `next`, a struct (text, sketch) of the following row by (doc_id, text), the
-    first row after the last. docs needs a `sketch` column.
+def with_next(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
+    """docs(doc_id, text, ...) with columns `sketch` and `next`, a struct (text, sketch) of the following row by
+    (doc_id, text), the first row after the last.
 
     One exchange of the rows by blocks of neighbouring ids; the block's last row takes the first of the next block
-    from a table with one row per block.
+    from a table with one row per block; only those first texts are sketched a second time.
     """
     docs = docs.withColumn("block", _blocks(docs))
     order = Window.partitionBy("block").orderBy("doc_id", "text")
     own = F.struct("text", "sketch")
-    rows = docs.withColumn("next", F.lead(own).over(order))
-    firsts = docs.groupBy("block").agg(F.min_by(own, F.struct("doc_id", "text")).alias("first"))
+    rows = docs.withColumn("sketch", sketch(F.col("text"), k, shingle)).withColumn("next", F.lead(own).over(order))
+    firsts = docs.groupBy("block").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    firsts = firsts.select("block", F.struct(F.col("first.text").alias("text"), sketch(F.col("first.text"), k, shingle).alias("sketch")).alias("first"))
     firsts = materialise(firsts, "firsts")
     names = [r["block"] for r in firsts.select("block").orderBy("block").collect()]  # at most MAX_BLOCKS
     follow = docs.sparkSession.createDataFrame(list(zip(names[-1:] + names[:-1], names)), "block int, next_block int")
@@ -115,7 +116,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE) ->
     single row is its own next document. Other columns of docs are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("sketch", sketch(F.col("text"), k, shingle)))
+    rows = with_next(rows, k, shingle)
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     swap = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - swap).cast("int")), F.substring(F.col("next.text"), F.lit(1), swap))
