@@ -3,9 +3,10 @@
 Base spans are fixed patterns. The battery looks at every other long token, infers its encoding (the smallest known
 alphabet that holds it), and tests it against a uniform random string of that alphabet: chi-squared uniformity of the
 symbols, a Wald-Wolfowitz runs test about the alphabet's middle, and lag-one serial correlation. A token must pass all
-three as random, and how unlikely ordinary text of its length would come as close to uniform gives its p-value (a
-noncentral chi-squared tail with the letter frequencies of the corpus). Benjamini-Hochberg control within bands of
-length turns p-values into spans: counts of rounded p-values are the only thing gathered, over all tokens of all texts.
+three as random, and how unlikely ordinary text of its length would come as close to uniform gives its p-value: a
+noncentral chi-squared tail, whose shift is how far the corpus's own frequencies of the alphabet's characters (counted
+over all texts) are from uniform, times the length. P-values are kept as logarithms, without a floor. Benjamini-Hochberg
+control within bands of length turns them into spans: counts of rounded ones are all that is gathered.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, pieces
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_GROUP, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 6, 20, 24, 20
@@ -47,20 +48,38 @@ def _upper_normal(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def chi2_tail(x: float, df: float, shift: float = 0.0) -> float:
-    """P(noncentral chi-squared > x) by Sankaran's cube-root normal form."""
+def log10_lower(z: float) -> float:
+    """log10 of the normal distribution function, also where it is far below the least double."""
+    if z > -30:
+        return math.log10(max(_upper_normal(-z), 1e-300))
+    return (-0.5 * z * z - math.log(-z * math.sqrt(2 * math.pi)) + math.log1p(-1 / (z * z))) / math.log(10)
+
+
+def _standard(x: float, df: float, shift: float) -> float:
+    """The normal deviate of a noncentral chi-squared value, by Sankaran's cube-root form."""
     m, v = df + shift, df + 2 * shift
     h = 1 - 2 * m * (df + 3 * shift) / (3 * v * v)
     p, q = v / (m * m), (h - 1) * (1 - 3 * h)
     mean = 1 + h * p * (h - 1 - 0.5 * (2 - h) * q * p)
-    sd = h * math.sqrt(2 * p) * (1 + 0.5 * q * p)
-    return _upper_normal(((max(x, 0) / m) ** h - mean) / sd)
+    return ((max(x, 0) / m) ** h - mean) / (h * math.sqrt(2 * p) * (1 + 0.5 * q * p))
+
+
+def chi2_tail(x: float, df: float, shift: float = 0.0) -> float:
+    """P(noncentral chi-squared > x)."""
+    return _upper_normal(_standard(x, df, shift))
+
+
+def text_log10p(x: float, symbols: int, length: int, spread: float) -> float:
+    """log10 of how likely ordinary text is as close to uniform as chi-squared x tells. spread: symbols times the sum of
+    squared shares of the corpus's characters, less 1; 0 (or no such characters) says that text looks random as well."""
+    return log10_lower(_standard(x, symbols - 1, length * spread)) if spread > 0 else 0.0
 
 
-def battery(token: str) -> tuple[str, float, float, float, float] | None:
-    """(encoding, p of uniformity, of runs, of serial correlation under randomness, p of ordinary text), or None."""
+def battery(token: str) -> tuple[int, float, float, float, float] | None:
+    """(encoding, chi-squared of uniformity, and the p-values under randomness of uniformity, runs and serial correlation) of
+    a token, or None for words and what no encoding holds."""
     seen = set(token)
-    for name, place in _SETS:
+    for code, (name, place) in enumerate(_SETS):
         if seen <= place.keys():
             break
     else:
@@ -71,9 +90,6 @@ def battery(token: str) -> tuple[str, float, float, float, float] | None:
     n, k = len(v), len(place)
     counts = np.bincount(v.astype(int), minlength=k)
     x = float(((counts - n / k) ** 2).sum() * k / n)
-    # ordinary text: half of the mass on few symbols; its distance from uniform grows with the length
-    spread = TEXT_CONCENTRATION * k - 1
-    text = 1 - chi2_tail(x, k - 1, n * max(spread, 0.25))
     up = v >= k / 2
     n1, n0 = int(up.sum()), int(n - up.sum())
     if n1 and n0:
@@ -87,11 +103,17 @@ def battery(token: str) -> tuple[str, float, float, float, float] | None:
     power = float((centred * centred).sum())
     rho = float((centred[1:] * centred[:-1]).sum()) / power if power else 1.0
     p_serial = 2 * _upper_normal(abs(rho + 1 / n) * math.sqrt(n))
-    return name, chi2_tail(x, k - 1), min(1.0, p_runs), min(1.0, p_serial), min(1.0, max(text, 1e-12))
+    return code, x, chi2_tail(x, k - 1), min(1.0, p_runs), min(1.0, p_serial)
 
 
-#: Sum of squared letter shares of ordinary text (the index of coincidence of European languages lies near 0.07).
-TEXT_CONCENTRATION = 0.07
+def spreads(letters: np.ndarray) -> list[float]:
+    """For each encoding: symbols times the sum of squared shares of the corpus's characters (counts by byte), less 1."""
+    out = []
+    for _, alphabet in ENCODINGS:
+        own = letters[[ord(c) for c in alphabet]].astype(float)
+        share = own / own.sum() if own.sum() else own
+        out.append(float(len(alphabet) * (share * share).sum() - 1) if own.sum() else 0.0)
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -115,27 +137,50 @@ def band(length: int) -> int:
     return max(4, length.bit_length() - 1)
 
 
+_TEST = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("length", pa.int32()), ("encoding", pa.int32()), ("x", pa.float64()), ("random", pa.bool_())])
+_TEST_SQL = "struct<start:int,end:int,length:int,encoding:int,x:double,random:boolean>"
+
+
+def _tests(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """The battery on every long token that no base span touches; tokens are read whole."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        if not any(s < m.end() and m.start() < e for s, _, e in spans):
+            found = battery(m[0])
+            if found:
+                out.append({"start": m.start(), "end": m.end(), "length": len(m[0]), "encoding": found[0], "x": found[1], "random": min(found[2:]) >= RANDOM_P})
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    """Base spans and tests of each text; the first row of every piece also counts the bytes of all its texts."""
+    for b in pieces(batches):
         cols: list[list] = [[] for _ in range(6)]
+        letters = np.zeros(256, np.int64)
         for t in b.column(1):
             text = t.as_py() or ""
+            letters += np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
             spans = base_spans(text)
-            tests = []
-            if re.search(_TOKEN, text):
-                for m in _TOKEN.finditer(text):
-                    if not any(s < m.end() and m.start() < e for s, _, e in spans):
-                        found = battery(m[0])
-                        if found and min(found[1:4]) >= RANDOM_P:
-                            tests.append({"start": m.start(), "end": m.end(), "band": band(len(m[0])), "score": int(-math.log10(found[4]) / STEP), "encoding": found[0]})
-                        elif found:
-                            tests.append({"start": m.start(), "end": m.end(), "band": band(len(m[0])), "score": 0, "encoding": found[0]})
             by = [sum(1 for s in spans if s[1] == k) for k in range(3)]
             base = told(spans)
-            for x, v in zip(cols, (*by, hashlib.sha256(base.encode()).hexdigest(), base, tests)):
+            for x, v in zip(cols, (*by, hashlib.sha256(base.encode()).hexdigest(), base, _tests(text, spans))):
                 x.append(v)
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("band", pa.int32()), ("score", pa.int32()), ("encoding", pa.string())]))]
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tests"])
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.list_(_TEST)]
+        counted = pa.array([letters.tolist()] + [None] * (b.num_rows - 1), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds)), counted], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tests", "letters"])
+
+
+def _scored(tests: DataFrame, spread: list[float]) -> DataFrame:
+    """tests(t) -> (t, band, score): -log10 p in steps; 0 for tokens that are not random."""
+    sizes = [len(a) for _, a in ENCODINGS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column(0).to_pylist()
+            score = [int(-text_log10p(r["x"], sizes[r["encoding"]], r["length"], spread[r["encoding"]]) / STEP) if r["random"] else 0 for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([band(r["length"]) for r in rows], pa.int32()), pa.array(score, pa.int32())], ["t", "band", "score"])
+
+    return tests.mapInArrow(run, f"t {_TEST_SQL}, band int, score int")
 
 
 def thresholds(counts: dict[tuple[int, int], int], share: float = FALSE_SHARE) -> dict[int, int]:
@@ -158,16 +203,34 @@ def scan(docs: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
     results (and count as often in the control of false discoveries). Other columns of docs are not read.
     """
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, tests array<struct<start:int,end:int,band:int,score:int,encoding:string>>"
+    schema = f"doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, tests array<{_TEST_SQL}>, letters array<long>"
     rows = materialise(slim.mapInArrow(_scan, schema), "secrets")
-    each = rows.select(F.explode("tests").alias("t")).groupBy("t.band", "t.score").agg(F.count("*").alias("n"))
-    least = thresholds({(r["band"], r["score"]): r["n"] for r in each.collect()}, share)  # bands x scores, a few hundred
-    passes = lambda t: F.coalesce(*[F.when(t["band"] == b, t["score"] >= s) for b, s in least.items()], F.lit(False))
-    good = F.filter("tests", passes)
-    parts = F.filter(F.split("base", ","), lambda x: x != "")
-    as_span = lambda kind, k, s, e: F.struct(s.cast("int").alias("s"), F.lit(k).alias("k"), F.concat(F.lit(kind + ":"), s.cast("string"), F.lit(":"), e.cast("string")).alias("t"))
-    new = F.transform(good, lambda t: as_span("random", 3, t["start"], t["end"]))
-    order = F.array(*[F.lit(k) for k in KINDS])
-    old = F.transform(parts, lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("s"), (F.array_position(order, F.split(x, ":")[0]) - 1).cast("int").alias("k"), x.alias("t")))
-    spans = F.array_join(F.transform(F.array_sort(F.concat(old, new)), lambda x: x["t"]), ",")
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.when(F.size(good) == 0, F.col("base")).otherwise(spans).alias("spans"), F.size(good).cast("long").alias("n_random"))
+    counts = rows.where("letters IS NOT NULL").select(F.posexplode("letters").alias("byte", "n")).groupBy("byte").agg(F.sum("n").alias("n")).collect()  # 256 rows
+    letters = np.zeros(256, np.int64)
+    for r in counts:
+        letters[r["byte"]] = r["n"]
+    spread = spreads(letters)
+    each = _scored(rows.select(F.explode("tests").alias("t")), spread).groupBy("band", "score").agg(F.count("*").alias("n"))
+    least = thresholds({(r["band"], r["score"]): r["n"] for r in each.collect()}, share)  # bands x distinct scores
+    found = _accepted(rows.select("base", "tests", *[c for c in rows.columns if c not in ("base", "tests", "letters")]), spread, least)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
+def _accepted(rows: DataFrame, spread: list[float], least: dict[int, int]) -> DataFrame:
+    """rows with spans (base ones and the tokens whose score reaches their band's least one) and n_random."""
+    sizes = [len(a) for _, a in ENCODINGS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans, n = [], []
+            for base, tests in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                good = [t for t in tests if t["random"] and band(t["length"]) in least and int(-text_log10p(t["x"], sizes[t["encoding"]], t["length"], spread[t["encoding"]]) / STEP) >= least[band(t["length"])]]
+                n.append(len(good))
+                if good:
+                    old = [(int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in base.split(",") if x)]
+                    base = told(sorted(old + [(t["start"], 3, t["end"]) for t in good]))
+                spans.append(base)
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(spans, pa.string()), pa.array(n, pa.int64())], [*b.schema.names[2:], "spans", "n_random"])
+
+    fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes[2:])
+    return rows.mapInArrow(run, f"{fields}, spans string, n_random long")
