@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,8 +125,10 @@ def plan(totals: list[int], weights: list[int] | None = None) -> Plan:
     active = [bool(weights and weights[k] and left[k]) for k in range(len(totals))]
     while any(active):
         parts = [weights[k] if active[k] else 0 for k in range(len(totals))]
-        if min(x for x in parts if x) * WINDOW < sum(parts):
-            raise ValueError("a target proportion is under one token a window")
+        small = [k for k, x in enumerate(parts) if x and x * WINDOW < sum(parts)]
+        if small:  # beside what is left of the others: such a queue ends the round, its rest goes by shares
+            active = [a and k not in small for k, a in enumerate(active)]
+            continue
         # a queue may be served a token more than its share, so one is kept back
         count = min(max(0, left[k] - 1) * sum(parts) // (parts[k] * WINDOW) for k in range(len(totals)) if active[k])
         if count:
@@ -173,27 +175,52 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "ids")
 
 
-def pack(docs: DataFrame, path: str | None = None, weights: dict[str | None, int] | None = None) -> DataFrame:
+def shared_queues(tokens: list[int], weights: list[int]) -> tuple[list[int], list[int]]:
+    """(queue of each source, target of each queue): sources whose target is under a token a window share one queue, at their
+    targets' sum, or join the smallest other one where even that is too little. Sources without a target share one as well."""
+    whole = sum(weights)
+    able = [i for i, w in enumerate(weights) if w * WINDOW >= whole and w]
+    place, rates = {i: q for q, i in enumerate(able)}, [weights[i] for i in able]
+    small = [i for i, w in enumerate(weights) if w and i not in place]
+    if small:
+        load = sum(weights[i] for i in small)
+        if load * WINDOW >= whole or not able:
+            rates.append(load)
+            place |= dict.fromkeys(small, len(rates) - 1)
+        else:
+            least = min(range(len(rates)), key=lambda q: (rates[q], q))
+            rates[least] += load
+            place |= dict.fromkeys(small, least)
+    if len(place) < len(weights):
+        place |= {i: len(rates) for i in range(len(weights)) if i not in place}
+        rates.append(0)
+    return [place[i] for i in range(len(weights))], rates
+
+
+def pack(docs: DataFrame, path: str | None = None, weights: Callable[[list], list[int]] | dict[str | None, int] | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, padded_length, row): one row a piece.
 
     Every id of every row of docs lies in exactly one piece; repeated doc_ids are rows of their own (`row` tells them
     apart). Null sources form a queue. Null or empty texts are their closing id. weights: target proportions of
-    sources (default: each source's own share, which can be held to the end). Other columns of docs are not read.
+    sources in whole numbers, by name or as a function of the sources by code point, null last (default: each source's
+    own share, which can be held to the end). A source that runs out leaves the others to fill the windows by their
+    targets; sources without a target come when all others are used up. Other columns of docs are not read.
     """
     rows = tokenised(docs, path or default_tokenizer())
     told = rows.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")).collect()  # a row a source
     told.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+    names = [r["source"] for r in told]
     if weights:
-        place = list(range(len(told)))
+        given = list(weights(names)) if callable(weights) else [weights.get(s, 0) for s in names]
+        place, rates = shared_queues([r["tokens"] for r in told], given)
     else:
-        place = queues([r["tokens"] for r in told])
+        place, rates = queues([r["tokens"] for r in told]), None
     n_queues = max(place, default=-1) + 1
-    totals, counts, rates = [0] * n_queues, [0] * n_queues, [0] * n_queues
+    totals, counts = [0] * n_queues, [0] * n_queues
     for r, q in zip(told, place):
         totals[q] += r["tokens"]
         counts[q] += r["docs"]
-        rates[q] = (weights or {}).get(r["source"], 0)
-    schedule = plan(totals, rates if weights else None)
+    schedule = plan(totals, rates)
     small = [(r["source"], q, math.isqrt(counts[q] - 1) + 1) for r, q in zip(told, place)]
     small = small_side(docs.sparkSession, small, "_source string, queue int, blocks long")
     placed = rows.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -207,7 +234,7 @@ def pack(docs: DataFrame, path: str | None = None, weights: dict[str | None, int
     cut = starts.select("doc_id", "source", "row", "queue", "at", "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 100):
             out: list[list] = [[] for _ in range(10)]
             for doc, source, row, q, at, n, ids in zip(*(c.to_pylist() for c in b.columns)):
                 wide = ids if len(ids) == 4 * n else np.frombuffer(ids, "<u2").astype("<u4").tobytes()

@@ -23,7 +23,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """Windows mixed by op1's weights of the sources."""
+    return packing.pack(table(spark, sf_dir, "documents"), weights=mixing.default_weights)
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
