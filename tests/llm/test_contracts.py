@@ -1,6 +1,7 @@
 """The ten queries against brute force on small tables that hold nulls, empties, long texts, ties and repeated rows."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sonolith.llm import linededup, mixing, packing, pivots, rules, secrets, simhash, sketch, tokens, toxicity, urlfilter
 from sonolith.llm.components import connected, smallest
@@ -249,32 +251,71 @@ def vectors(seed=0, n=700, dim=32):
     return [tuple(r) for r in rows]
 
 
-def test_embedding_links(spark, monkeypatch):
+@pytest.mark.parametrize("split, chunk", [(1024, 1024), (1024, 50), (40, 30)])
+def test_embedding_links(spark, monkeypatch, split, chunk):
     rows = vectors()
-    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links string").repartition(3)
-    ok = [r for r in rows if r[2] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
-    want, found = {r[0]: set() for r in rows}, 0
-    for d in {len(r[1]) for r in ok}:
-        part = [r for r in ok if len(r[1]) == d]
-        x = np.array([r[1] for r in part])
+    rows += [(None, rows[400][1], rows[400][2]), (None, [5.0, 1.0, 2.0], 9), (3, rows[2][1], rows[2][2])]  # no ids, a repeated row
+    text = [(i, v, None if k is None else f"label {k}", "x") for i, v, k in rows]
+    df = spark.createDataFrame(text, "vec_id long, embedding array<float>, label string, n_links string").repartition(3)
+    ok = [k for k, r in enumerate(rows) if r[2] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+    want = {k: set() for k in range(len(rows))}
+    for d in {len(rows[k][1]) for k in ok}:
+        part = [k for k in ok if len(rows[k][1]) == d]
+        x = np.array([rows[k][1] for k in part])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        near = (x @ x.T >= 0.93) & (np.array([r[2] for r in part])[:, None] == np.array([r[2] for r in part]))
-        for i, j in zip(*np.nonzero(near)):
+        label = np.array([rows[k][2] for k in part])
+        for i, j in zip(*np.nonzero((x @ x.T >= 0.93) & (label[:, None] == label))):
             if i != j:
-                want[part[i][0]].add(part[j][0])
-    monkeypatch.setattr(pivots, "LIST", 50)
-    got = {r["vec_id"]: r for r in pivots.near_vectors(df, pivots=128).collect()}
-    assert got.keys() == want.keys()
+                want[part[i]].add(part[j])
+    monkeypatch.setattr(pivots, "SPLIT", split)
+    monkeypatch.setattr(pivots, "CHUNK", chunk)
+    got = pivots.near_vectors(df, pivots=128).collect()
+    assert Counter(r["vec_id"] for r in got) == Counter(r[0] for r in rows)
     total = sum(map(len, want.values()))
-    found = sum(r["n_links"] for r in got.values())
-    assert all(r["n_links"] <= len(want[i]) for i, r in got.items()) and found >= 0.95 * total
-    whole = {i: r for i, r in got.items() if r["n_links"] == len(want[i])}
-    assert len(whole) > 0.95 * len(got)
-    assert all(got[i]["component_id"] == i and got[i]["kept"] and got[i]["n_links"] == 0 for i in (11, 12, 13, 14, 15, 16, 17))
-    assert got[540]["n_links"] >= 39 and got[540]["component_id"] <= 501
+    found = sum(r["n_links"] for r in got)
+    assert total > 8_000 and (found == total if chunk == 1024 else 0.95 * total <= found <= total)
+    by_id = by(got, "vec_id")
+    many = {r[0]: sorted(len(want[k]) for k, x in enumerate(rows) if x[0] == r[0]) for r in rows}
+    whole = [i for i, n in many.items() if sorted(r["n_links"] for r in by_id[i]) == n]
+    assert len(whole) > 0.95 * len(many) and all(sum(r["n_links"] for r in by_id[i]) <= sum(n) for i, n in many.items())
+    one = {i: r[0] for i, r in by_id.items()}
+    assert all(one[i]["component_id"] == i and one[i]["kept"] and one[i]["n_links"] == 0 for i in (11, 12, 13, 14, 15, 16, 17))
+    assert one[540]["n_links"] >= 39 and one[540]["component_id"] <= 501
+    assert not any(r["kept"] for r in by_id[None]) and {r["component_id"] is None for r in by_id[None]} == {True, False}
+    if chunk == 1024:  # then all pairs are compared
+        reach = {k: k for k in want}
+        for _ in range(200):
+            reach = {k: min([reach[k], *[reach[m] for m in want[k]]]) for k in want}
+        least = {}
+        for k, root in reach.items():
+            if rows[k][0] is not None:
+                least[root] = min(least.get(root, 1 << 60), rows[k][0])
+        assert all(r["component_id"] == least[reach[k]] for k, row in enumerate(rows) if row[0] not in (None, 3) for r in by_id[row[0]])
     assert pivots.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shared", [0.0, 0.6, 0.8])
+@pytest.mark.parametrize("n", [4000, 60_000])
+def test_index_recall_at_production_parameters(shared, n):
+    """Pairs just above the bound, among vectors in all directions and in cones around one."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    mean = unit(rng.normal(size=(1, 64)))
+    x = unit(np.sqrt(shared) * mean + np.sqrt(1 - shared) * unit(rng.normal(size=(n, 64))))
+    side = rng.normal(size=(800, 64))
+    side -= (side * x[:800]).sum(axis=1, keepdims=True) * x[:800]
+    y = 0.932 * x[:800] + np.sqrt(1 - 0.932**2) * unit(side)
+    assert np.allclose((x[:800] * y).sum(axis=1), 0.932)
+    p, centre = pivots.choose(x[rng.permutation(n)[: pivots.SAMPLE * pivots.wanted(n)]], pivots.wanted(n))
+    nearest = pivots.tuned(x[rng.permutation(n)[: pivots.PROBES]], p, centre, pivots.COSINE, pivots.SHARED)
+    a, b = (pivots.describe(v, p, centre, nearest) for v in (x[:800], y))
+    met = (a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1)
+    recall = (met >= pivots.SHARED).mean()
+    size = np.bincount(pivots.describe(x, p, centre, nearest).ravel(), minlength=len(p)).max() / n
+    print(f"shared {shared} n {n}: {len(p)} pivots, {nearest} nearest, recall {recall:.3f}, longest list {size:.3f} of all")
+    assert recall >= 0.97 and size < 0.1
+
+
 def test_toxicity_learns_words_in_context(spark):
     rng = np.random.default_rng(2)
     pool = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
@@ -299,6 +340,72 @@ def test_toxicity_learns_words_in_context(spark):
     assert {r["score"] for r in toxicity.toxicity(df, labels.limit(0)).collect()} == {0.0}
 
 
+def scalar_logit(net, words):
+    """Logit of one window, one gate after the other."""
+    p, n = net.p, toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    xs = []
+    for w in words:
+        code = [ord(c) for c in f"^{w}$"]
+        chars = sum(p["char"][(a * 31 + b * 7) % toxicity.BIGRAMS].astype(float) for a, b in zip(code, code[1:])) / (len(code) - 1)
+        xs.append(np.concatenate((p["word"][net.words.get(w, 0)], chars)))
+    states = [np.zeros(2 * n) for _ in words]
+    for d in range(2):
+        h = np.zeros(n)
+        for t in range(len(words)) if d == 0 else reversed(range(len(words))):
+            a, u = xs[t] @ p["wx"][d] + p["b"][d], h @ p["wh"][d]
+            z, r = sig(a[:n] + u[:n]), sig(a[n : 2 * n] + u[n : 2 * n])
+            new = np.tanh(a[2 * n :] + r * u[2 * n :])
+            h = (1 - z) * new + z * h
+            states[t][d * n : (d + 1) * n] = h
+    if not words:
+        return float(p["bias"][0])
+    weight = np.exp([s @ p["att"] for s in states])
+    return float(sum(w * s for w, s in zip(weight / weight.sum(), states)) @ p["out"] + p["bias"][0])
+
+
+def test_scores_equal_a_scalar_network(monkeypatch):
+    """Batching, grouping, cache resets and the last window against one gate after the other."""
+    rng = np.random.default_rng(4)
+    pool = [f"{a}{b}{c}" for a in "abcdé" for b in "xyz" for c in "mnop"]
+    texts = [" ".join(rng.choice(pool, int(n))) for n in [1, 2, 63, 64, 65, 96, 97, 200, 700, *rng.integers(1, 300, 20)]] + ["", "12 !", "ab " * 40]
+    net = toxicity.train(texts, [k % 2 for k in range(len(texts))], steps=15)
+
+    def brute(text):
+        words = toxicity.words_of(text)
+        starts = [k * toxicity.STRIDE for k in range(toxicity.windows(len(words)))]
+        return 1 / (1 + np.exp(-max(scalar_logit(net, words[s : s + toxicity.WINDOW]) for s in starts)))
+
+    want = [brute(t) for t in texts]
+    assert np.allclose(net.scores(texts), want, atol=1e-4)
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 30)
+    monkeypatch.setattr(toxicity, "GROUP_WORDS", 100)
+    net.forget()
+    assert np.allclose(net.scores(texts), want, atol=1e-4) and np.allclose([net.scores([t])[0] for t in texts], want, atol=1e-4)
+
+
+def test_order_matters_to_the_network():
+    """Ablation on texts whose label only the order of their words tells: `not bad` is harmless, `bad not` is not. Averages
+    of the same inputs cannot tell them apart; the recurrent network can."""
+    rng = np.random.default_rng(6)
+    pool = [f"w{k}" for k in map(chr, range(97, 123))]
+
+    def text(label):
+        words = list(rng.choice(pool, 20))
+        at = int(rng.integers(0, 19))
+        words[at : at + 2] = ["bad", "not"] if label else ["not", "bad"]
+        return " ".join(words)
+
+    labels = [k % 2 for k in range(900)]
+    texts = [text(y) for y in labels]
+    net = toxicity.train(texts[:700], labels[:700])
+    right = np.mean((net.scores(texts[700:]) >= 0.5) == np.array(labels[700:]))
+    bags = np.array([[t.split().count(w) for w in [*pool, "bad", "not"]] for t in texts], float)
+    fit = np.linalg.lstsq(np.c_[bags[:700], np.ones(700)], np.array(labels[:700]), rcond=None)[0]
+    bag = np.mean((np.c_[bags[700:], np.ones(200)] @ fit >= 0.5) == np.array(labels[700:]))
+    assert right > 0.9 and bag < 0.65, (right, bag)
+
+
 def test_network_gradients():
     net = toxicity.train(["good day to you all here", "bad day for us all there"] * 40 + [f"x{'y' * i} bad" for i in range(20)], [0, 1] * 40 + [1] * 20, steps=2)
     words = sorted({"good", "day", "bad", "unknown", "you"})
@@ -307,7 +414,7 @@ def test_network_gradients():
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
 
     def loss():
-        gates = np.concatenate((np.zeros((2, 1, 24)), np.matmul(net.inputs(words)[0][None], net.p["wx"]) + net.p["b"][:, None]), axis=1).astype(np.float32)
+        gates = np.concatenate((np.zeros((2, 1, 3 * toxicity.HIDDEN)), np.matmul(net.inputs(words)[0][None], net.p["wx"]) + net.p["b"][:, None]), axis=1).astype(np.float32)
         z = net.window_logits(np.pad(idx, ((0, 0), (0, toxicity.WINDOW - 5))), gates)
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
@@ -449,7 +556,122 @@ def test_fingerprint_links_lose_nothing(spark, monkeypatch, hot):
 
 
 def test_battery_reads_whole_tokens():
+    token = "9fJ2kQx7LmZ0aBvR3tYw8uHpNc5dEgS1" * 4
+    code, x, uniform, runs_, serial = secrets.battery(token)
+    alphabet = secrets.ENCODINGS[code][1]
+    assert secrets.ENCODINGS[code][0] == "base62"
+    n, k = len(token), len(alphabet)
+    assert x == pytest.approx(sum((token.count(c) - n / k) ** 2 for c in alphabet) * k / n)
+    up = [alphabet.index(c) >= k / 2 for c in token]
+    n1, n0, seen = sum(up), n - sum(up), 1 + sum(a != b for a, b in zip(up, up[1:]))
+    mean, var = 1 + 2 * n1 * n0 / n, 2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1))
+    assert runs_ == pytest.approx(math.erfc(abs(seen - mean) / math.sqrt(2 * var)), rel=1e-6)
+    v = [alphabet.index(c) for c in token]
+    m = sum(v) / n
+    rho = sum((a - m) * (b - m) for a, b in zip(v, v[1:])) / sum((a - m) ** 2 for a in v)
+    assert serial == pytest.approx(math.erfc(abs(rho + 1 / n) * math.sqrt(n / 2)), rel=1e-9)
+    assert secrets.battery("a" * 30) is None and secrets.battery("no such.alphabet" * 5) is None
+
+
+def test_tails_against_simulation():
+    rng = np.random.default_rng(1)
+    draws = rng.noncentral_chisquare(61, 200, 200_000)
+    for x in (180, 220, 261, 300, 340):
+        assert secrets.chi2_tail(x, 61, 200) == pytest.approx((draws > x).mean(), abs=0.004)
+    plain = rng.chisquare(15, 200_000)
+    for x in (5, 15, 25):
+        assert secrets.chi2_tail(x, 15) == pytest.approx((plain > x).mean(), abs=0.01)
+    assert secrets.log10_lower(-5) == pytest.approx(math.log10(0.5 * math.erfc(5 / math.sqrt(2)))) and abs(secrets.log10_lower(-29.999) - secrets.log10_lower(-30.001)) < 0.1
+    assert secrets.text_log10p(60, 62, 100_000, 3.0) < -1000 and secrets.text_log10p(60, 62, 40, 0.0) == 0
+
+
+def test_thresholds_are_benjamini_hochberg():
+    rng = np.random.default_rng(2)
+    for truth in (0, 5, 40):
+        score = [int(s) for s in rng.exponential(1.74, 3000)] + [int(s) for s in rng.integers(30, 400, truth)]  # 10 ** (-score / 4) is uniform
+        least = secrets.thresholds(Counter((5, s) for s in score)).get(5)
+        p = sorted(10 ** (-s * secrets.STEP) for s in score)
+        passed = [k for k, v in enumerate(p, 1) if v <= secrets.FALSE_SHARE * k / len(p)]
+        taken = sum(s >= least for s in score) if least else 0
+        assert taken == (max(passed) if passed else 0)
+    assert secrets.thresholds({(5, 0): 10**14, (5, 4000): 1}) == {5: 4000}  # one in very many is still found
+
+
+def test_random_tokens_among_ordinary_ones(spark):
+    """Planted keys are found, and the false share among what is found stays near its bound."""
+    rng = np.random.default_rng(3)
+    symbols = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    shares = rng.dirichlet(np.full(26, 0.7))
+    word = lambda n: "".join(rng.choice(list("etaoinshrdlucmfwypvbgkjqxz"), n, p=shares))
+    texts = [" ".join(word(int(k)) for k in rng.integers(2, 9, 30)) + " " + "-".join(word(5) for _ in range(8)) + str(i) for i in range(400)]
+    planted = set(range(0, 400, 10))
+    texts = [t + (" " + "".join(rng.choice(symbols, 40)) if i in planted else "") for i, t in enumerate(texts)]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    hits = {r["doc_id"] for r in got if r["n_random"]}
+    assert len(hits & planted) >= 36 and len(hits - planted) <= 2
+    for r in got:
+        for span in filter(None, r["spans"].split(",")):
+            kind, s, e = span.split(":")
+            assert kind != "random" or texts[r["doc_id"]][int(s) : int(e)].count("-") < 5
+    again = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_lines_by_host_and_clashing_names(spark):
+    rows = [(k, f"http://{'a' if k % 2 else 'B'}.example/{k}", f"own {k}\nfoot {'a' if k % 2 else 'b'}", 1, 2) for k in range(60)] + [(99, None, "x", 1, 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _bad int, _Site int")
+    got = {r["page_id"]: r for r in linededup.by_host(df).collect()}
+    assert len(got) == 61 and all(got[k]["html"] == f"own {k}" and got[k]["n_dropped"] == 1 and got[k]["_bad"] == 1 and got[k]["_Site"] == 2 for k in range(60))
+    assert got[3]["host"] == "a.example" and got[2]["host"] == "b.example" and got[99]["host"] == ""
+
+
+def test_mixing_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if k % 7 == 0 else k // 2, ["a", "b", None][k % 3], int(rng.integers(0, 300)), f"t{k}", 1) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, text string, last int")
+    first = sorted(map(repr, mixing.mix(df.repartition(3)).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert sorted(map(repr, mixing.mix(df.repartition(11)).collect())) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r["source"]] += r["copies"] * r["size"]
+    for r in mixing.mix(df).select("source", "target").distinct().collect():
+        assert abs(taken[r["source"]] - r["target"]) <= 150
+
+
+def test_sketches_merge_and_estimate(spark):
+    """Parts against whole texts, and estimates against exact bottom-k sketches in Python."""
     rng = np.random.default_rng(5)
-    noise = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 4096))
-    assert min(secrets.battery(noise)[1:4]) >= secrets.RANDOM_P
-    assert min(secrets.battery(noise + "a" * 4096)[1:4]) < secrets.RANDOM_P  # ordinary only after a long random start
+    words = [f"w{k}" for k in rng.integers(0, 3000, 2500)]
+    cut = int(1200)
+    a, b, c = words[: cut + 4], words[cut:], words[300:2000]
+    df = spark.createDataFrame([(" ".join(a), " ".join(b), " ".join(words), " ".join(c))], "a string, b string, w string, c string")
+    s = {k: sketch.sketch(F.col(k)) for k in "abwc"}
+    df = df.select(*[v.alias(k) for k, v in s.items()])
+    got = df.select("w", "c", sketch.merge(F.col("a"), F.col("b")).alias("m"), sketch.resemblance(F.col("w"), F.col("c")).alias("r"), sketch.containment(F.col("c"), F.col("w")).alias("k"), sketch.containment(F.col("w"), F.col("c")).alias("k2"), sketch.distinct_shingles(F.col("w")).alias("n")).head()
+    assert got["m"] == got["w"] and len(got["w"]) == sketch.K and got["w"] == sorted(got["w"])
+    union = sorted(set(got["w"]) | set(got["c"]))[: sketch.K]
+    assert got["r"] == pytest.approx(len(set(union) & set(got["w"]) & set(got["c"])) / len(union))
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, c)]
+    share = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    assert abs(got["r"] - share) < 0.15 and abs(got["n"] / len(sets[0]) - 1) < 0.3 and got["k"] > 0.85 and abs(got["k2"] - len(sets[1]) / len(sets[0])) < 0.2
+
+
+def test_packing_to_targets(spark):
+    """Sources with tiny targets share a queue, and sources without a target come last."""
+    place, rates = packing.shared_queues([10] * 5, [1, 100_000, 1, 0, 3])
+    assert place[1] == 0 and place[0] == place[2] == place[4] and place[3] != place[0] and sum(rates) == 100_005 and rates[place[3]] == 0
+    place, rates = packing.shared_queues([1] * 4000, [1] * 4000)
+    assert set(place) == {0} and rates == [4000]
+    texts = [(i, f"{'word ' * 300}{i}", "ab"[i % 2]) for i in range(80)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    rows = packing.pack(df, weights={"a": 3, "b": 1}).collect()
+    check_pieces(rows, [(i, t) for i, t, _ in texts], library())
+    first = Counter()
+    for r in rows:
+        if r["sequence_id"] < 4:
+            first[r["source"]] += r["length"]
+    assert first == {"a": 3 * 2048, "b": 2048}
