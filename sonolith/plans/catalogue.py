@@ -185,15 +185,17 @@ def all_pairs_results(spark, sf_dir):
     return similarity.all_pairs_results(prints(spark, sf_dir)).select("a", "b", F.round("cp", 9).alias("cp"), F.round("fm", 9).alias("fm"))
 
 
-@query(GATED + """, pair AS (SELECT a, b, cp FROM scored WHERE cp > 0.72::DOUBLE AND fm > 0.72::DOUBLE), both_ AS (SELECT a, cp FROM pair UNION ALL SELECT b, cp FROM pair)
-SELECT a AS oid, round(avg(cp), 9) AS mean, count(*) AS n, list_aggregate(list_transform(list_sort(list(cp)), lambda v: round(v, 6)::VARCHAR), 'string_agg', ' ') AS "values" FROM both_ GROUP BY a HAVING avg(cp) < 0.9::DOUBLE AND count(*) > 3""")
+@query("""WITH v AS (SELECT x.vec_id AS oid, round(abs(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[])), 6) AS value FROM embeddings x JOIN embeddings y ON y.vec_id BETWEEN x.vec_id + 1 AND x.vec_id + 6)
+SELECT oid, round(avg(value), 9) AS mean, count(*) AS n, list_aggregate(list_transform(list_sort(list(value)), lambda v: printf('%.6f', v)), 'string_agg', ' ') AS "values" FROM v GROUP BY oid HAVING avg(value) < 0.7::DOUBLE AND count(*) > 3""")
 def suspects(spark, sf_dir):
-    """Prints of more than three results whose mean share stays low; shares of results lie above 0.72, so low is below 0.9
-    here, where the operator's own bound for likenesses of names is 0.7."""
-    hits = similarity.all_pairs_results(prints(spark, sf_dir))
-    both = hits.select("a", "cp").unionByName(hits.select(F.col("b").alias("a"), "cp"))
-    text = F.array_join(F.transform("values", lambda v: F.round(v, 6).cast("string")), " ")
-    return dedupe.suspects(both, "a", "cp", mean=0.9).select("oid", F.round("mean", 9).alias("mean"), "n", text.alias("values"))
+    """Vectors of more than three comparisons (with the six after them) whose mean likeness stays low, with all of it."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    after = rows.select(F.explode(F.expr("sequence(vec_id - 6, vec_id - 1)")).alias("vec_id"), F.col("v").alias("w"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    value = F.round(F.abs(dot("v", "w") / F.sqrt(dot("v", "v") * dot("w", "w"))), 6).alias("value")
+    scored = rows.join(after, "vec_id").select(F.col("vec_id").alias("oid"), value)
+    text = F.array_join(F.transform("values", lambda v: F.format_string("%.6f", v)), " ")
+    return dedupe.suspects(scored, "oid", "value").select("oid", F.round("mean", 9).alias("mean"), "n", text.alias("values"))
 
 
 _OR_FOLD = """, cells AS (SELECT source, 'r32' AS part, unnest(r32) AS word, generate_subscripts(r32, 1) AS pos FROM fp UNION ALL SELECT source, 'dom16', unnest(dom16), generate_subscripts(dom16, 1) FROM fp

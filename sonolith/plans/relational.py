@@ -22,9 +22,9 @@ def join_group(spark, sf_dir):
     return rows.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')")
 def anti_join(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
@@ -85,11 +85,13 @@ def metadata_lookup(spark, sf_dir):
     return both.select("oid1", "oid2", (F.col("m1") == F.col("m2")).alias("alike"))
 
 
-@query(_RESULTS + " SELECT d.doc_id AS oid1, d.doc_id + 1 AS oid2, round(r.cp, 9) AS cp FROM documents d JOIN res r ON (r.a = d.doc_id AND r.b = d.doc_id + 1) UNION ALL SELECT d.doc_id, d.doc_id - 1, round(r.cp, 9) FROM documents d JOIN res r ON (r.a = d.doc_id - 1 AND r.b = d.doc_id)")
+@query(_RESULTS + " SELECT CASE WHEN a % 2 = 0 THEN a ELSE b END AS oid1, CASE WHEN a % 2 = 0 THEN b ELSE a END AS oid2, round(cp, 9) AS cp FROM res")
 def symmetric_lookup(spark, sf_dir):
-    """Results of neighbours by id, asked from either end."""
-    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("oid1"), F.explode(F.array(F.col("doc_id") - 1, F.col("doc_id") + 1)).alias("oid2"))
-    return asked.join(dedupe.both_ways(_results(spark, sf_dir), "cp"), ["oid1", "oid2"]).select("oid1", "oid2", F.round("cp", 9).alias("cp"))
+    """Results asked from either end: each pair is looked up turned round where its smaller id is odd."""
+    found = _results(spark, sf_dir)
+    even = F.col("oid1") % 2 == 0
+    asked = found.select(F.when(even, F.col("oid1")).otherwise(F.col("oid2")).alias("oid1"), F.when(even, F.col("oid2")).otherwise(F.col("oid1")).alias("oid2"))
+    return asked.join(dedupe.both_ways(found, "cp"), ["oid1", "oid2"]).select("oid1", "oid2", F.round("cp", 9).alias("cp"))
 
 
 @query("SELECT u.user_id, u.event_id FROM events u WHERE u.event_type NOT IN ('view') AND NOT list_has_any(string_split(u.event_type, '_'), ['click', 'scroll'])")
