@@ -46,14 +46,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of a table of keys up to which join_unique broadcasts it.
+JOIN_ROWS = 50_000
+
+
 def join_unique(big: DataFrame, small: DataFrame, keys: str | list[str], how: str = "left") -> DataFrame:
     """Equi-join (left or inner) of big with small, which has one row a key at most.
 
-    A key with more than a quarter of a partition's share of big's rows is hot; there are fewer than four a partition of
+    A small of up to JOIN_ROWS rows is broadcast. Else a key with more than a quarter of a partition's share of big's rows is hot; there are fewer than four a partition of
     those, so their rows of small are broadcast and no hot key goes through the shuffle. Both sides should be written
     tables, as they are read more than once. Null keys match nothing, and with `left` never travel.
     """
     keys = [keys] if isinstance(keys, str) else keys
+    if small.count() <= JOIN_ROWS:
+        return big.join(F.broadcast(small), keys, how)
     parts = partitions(big)
     known = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
     bound = max(16, big.count() // (4 * parts))

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sonolith.llm import linededup, mixing, packing, pivots, rules, secrets, simhash, sketch, tokens, toxicity, urlfilter
+from sonolith.llm import common, linededup, mixing, packing, pivots, rules, secrets, simhash, sketch, tokens, toxicity, urlfilter
 from sonolith.llm.components import connected, smallest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,9 +50,11 @@ def by(rows, key="doc_id"):
     return out
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rows", [50_000, 0])
+def test_components(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "JOIN_ROWS", rows)
     rng = np.random.default_rng(0)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(120)] + [(5, 5)]
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(120)] + [(5, 5)] + [(5000, 5001 + i) for i in range(150)]
     up = {}
 
     def root(x):
