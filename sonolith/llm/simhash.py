@@ -186,11 +186,11 @@ def votes(hashes: np.ndarray) -> np.ndarray:
     return np.frombuffer(np.packbits(2 * ones > len(hashes)).tobytes(), ">u8").astype(np.uint64)
 
 
-def chained(a: np.ndarray, b: np.ndarray, distance: int, segments: int = 16) -> np.ndarray:
+def chained(a: np.ndarray, b: np.ndarray, distance: int, segments: int = SEGMENTS) -> np.ndarray:
     """Whether pairs of 128-bit prints (rows of two words) have a chain of consecutive segments, around the ring, whose every
     prefix of l segments differs in l * distance / segments bits at most; all pairs within `distance` bits do."""
     diff = np.ascontiguousarray((a ^ b).astype(">u8")).view(np.uint8).reshape(len(a), 16)
-    counts = np.bitwise_count(diff).reshape(len(a), segments, -1).sum(axis=2, dtype=np.int16)
+    counts = np.bitwise_count(diff).reshape(len(a), segments, 16 // segments).sum(axis=2, dtype=np.int16)
     sums = np.concatenate((np.zeros((len(a), 1), np.int16), np.cumsum(np.concatenate((counts, counts), axis=1), axis=1, dtype=np.int16)), axis=1)
     alive = np.ones((len(a), segments), bool)
     for length, budget in enumerate(budgets(distance, segments), 1):

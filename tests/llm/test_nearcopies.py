@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as p
-from sonolith.llm import nearcopies
+from sonolith.llm import nearcopies, simhash
 
 
 @pytest.mark.parametrize("small", [32, 2])
@@ -27,3 +27,21 @@ def test_near_copies_equal_brute_force(spark, small):
     assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs, small=small).collect()} == dict(enumerate(label))
     kept = {r["doc_id"] for r in p.simhash_dedup(spark, docs, "").collect()}
     assert kept == set(label) and len(kept) < len(texts) - 20
+
+
+def test_chains():
+    """All pairs within the distance have a chain; the rule against one chain after the other; no pairs at all."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**63, (400, 2)).astype(np.uint64)
+    b = a.copy()
+    for k in range(400):
+        for bit in rng.choice(128, k // 4, replace=False):
+            b[k, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    got = simhash.chained(a, b, 48)
+    for k in range(400):
+        x = [int(p) ^ int(q) for p, q in zip(a[k], b[k])]
+        ring = [(x[0] << 64 | x[1]) >> (120 - 8 * i) & 255 for i in range(16)]
+        some = any(all(sum(ring[(s + i) % 16].bit_count() for i in range(n)) <= n * 48 // 16 for n in range(1, 17)) for s in range(16))
+        assert got[k] == some and (some or sum(v.bit_count() for v in ring) > 48)
+    assert 190 <= got.sum() < 400 and len(simhash.chained(a[:0], b[:0], 48)) == 0
+    assert list(nearcopies._pairs(np.arange(2), np.array([1, 9]), np.arange(2), a[:2], 0.8))[0][0].size == 0
