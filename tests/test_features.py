@@ -189,3 +189,30 @@ def test_pictures():
     png = report.image_png(np.arange(24.0).reshape(2, 12))
     assert png[:8] == b"\x89PNG\r\n\x1a\n" and png[16:24] == (2).to_bytes(4, "big") + (12).to_bytes(4, "big")
     assert report.image_text(np.array([[1, 0.5]])) == "1.00000 0.50000\n" and math.isclose(features.RATE, 11025)
+
+
+def test_filter_selection(spark):
+    """Pairs that only one region tells apart: its filter comes first, and errors equal a count over all rows."""
+    from sonolith.operators import training
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(300):
+        a = rng.uniform(0, 1, (4, 4))
+        b = rng.uniform(0, 1, (4, 4))
+        same = bool(k % 2)
+        low = rng.uniform() < 0.5
+        a[:2, :2] = 3.0 if low else 0.1
+        b[:2, :2] = 3.0 if low == same else 0.1
+        rows.append((same, a.ravel().tolist(), b.ravel().tolist()))
+    df = spark.createDataFrame(rows, "same boolean, a array<double>, b array<double>").repartition(3)
+    filters = training.candidates(4, 4)
+    chosen = training.select(df, filters, rounds=3, cuts=8, pitches=4)
+    first = chosen[0]
+    assert (first.kind, first.pitch) == (0, 0) and first.pitches <= 2 and first.frames <= 2 and first.error == 0 and len(chosen) == 3
+    told = {(r["bits"], r["same"]): r["n"] for r in training.rates(df, chosen[:1], 4).collect()}
+    assert told == {(0, True): 150, (1, False): 150}
+    value = lambda x, c: math.log1p(np.array(x).reshape(4, 4)[: c.frames, c.pitch : c.pitch + c.pitches].sum())
+    second = training.select(df, [(0, 2, 2, 4)], rounds=1, cuts=5, pitches=4)[0]
+    wrong = sum(((value(a, second) < second.cut) == (value(b, second) < second.cut)) != same for same, a, b in rows)
+    assert second.error == pytest.approx(wrong / 300) and training.select(df.limit(0), filters, 1) == []
