@@ -215,7 +215,10 @@ def test_plans_fill_every_window(totals):
         list(p.pieces(0, sums[0] - 10**5, 10**5))
 
 
-def test_url_rules(spark):
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_url_rules(spark, monkeypatch, most):
+    monkeypatch.setattr(urlfilter, "MAX_RULES", most)
+    monkeypatch.setattr(urlfilter, "PART_RULES", 4)
     urls = [None, "", "nothing", "http://", "http://Example.ORG/es/x?y", "https://a.example.org/en/12#z", "http://badexample.org/en/1", "http://org", "http://x.org?q",
             "http://example.org:80/es/", "ftp://ww.com/fr/", "ftp://ww.com/FR/", "x://y.com/de/1", "x://y.com/de", "a://b://c.org/", "http://casino-win.example.com/en/1", "http://n.net/CHEAP-pills/",
             "http://n.net/cheap-pillsx/", "http://n.net/robots.txt?casino", "http://n.net/login?a&redirect=1", "http://n.net/a\nb/casino", "http://exämple.org/es/", "//://"]
