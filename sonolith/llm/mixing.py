@@ -111,25 +111,30 @@ def _row_hash(docs: DataFrame, order: str) -> Column:
     return F.xxhash64(*([order] if order in docs.columns else []), *[text_key(F.col(f"`{c}`"), t) for c, t in docs.dtypes])
 
 
-#: Hash ranges in which a cell is first counted; only the range that holds the threshold is sorted.
-RANGES = 4096
+#: Leading bits of the hash by which rows of a cell are counted, level by level: 64 ranges of the one before each time.
+LEVELS = (6, 12, 18)
 
 
 def _thresholds(slim: DataFrame, cells: DataFrame) -> DataFrame:
     """cells(source, size, more) -> (source, size, last): the hash of the more-th row of the cell by rising hash.
 
-    slim: source, size, hash of every row. A hot cell is spread over RANGES, and a few rows of one are sorted."""
+    slim: source, size, hash of every row. Each level keeps the one range of a cell that holds the threshold, so a task sees
+    64 counts of a hot cell, and only what the last level leaves of it (a row in 262,144) is sorted."""
     key = ["source", "size"]
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
     asked = cells.where("more > 0").select(F.col("source").alias("_source"), F.col("size").alias("_size"), "more")
-    ranged = slim.withColumn("range", F.shiftright("hash", 52))  # 4096 ranges by the top bits, in the order of the hashes
-    counts = ranged.groupBy(*key, "range").agg(F.count("*").alias("rows"))
-    w = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("upto", F.sum("rows").over(w)).join(asked, same)
-    hit = counts.where("upto >= more AND upto - rows < more").select("_source", "_size", F.col("range").alias("_range"), (F.col("more") - (F.col("upto") - F.col("rows"))).alias("nth"))
-    here = ranged.join(hit, same & (F.col("range") == F.col("_range")))
-    nth = here.withColumn("at", F.row_number().over(Window.partitionBy(*key, "range").orderBy("hash"))).where("at = nth")
-    return nth.select(*key, F.col("hash").alias("last"))
+    rows = slim
+    for bits in LEVELS:
+        ranged = rows.withColumn("range", F.shiftright("hash", 64 - bits))  # in the order of the hashes
+        counts = ranged.groupBy(*key, "range").agg(F.count("*").alias("rows"))
+        w = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("upto", F.sum("rows").over(w)).join(asked, same)
+        hit = counts.where("upto >= more AND upto - rows < more").select("_source", "_size", F.col("range").alias("_range"), (F.col("more") - (F.col("upto") - F.col("rows"))).alias("more"))
+        hit = materialise(hit, "ranges")
+        rows = materialise(ranged.join(hit.drop("more"), same & (F.col("range") == F.col("_range"))).select(*key, "hash"), "within")
+        asked = hit.drop("_range")
+    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("hash")))
+    return placed.join(asked, same & (F.col("at") == F.col("more"))).select(*key, F.col("hash").alias("last"))
 
 
 def mix(docs: DataFrame, weights: Callable[[list], list] = default_weights, share: float = SHARE, cap: float = CAP) -> DataFrame:
