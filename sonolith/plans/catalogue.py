@@ -37,11 +37,11 @@ _stored: dict[tuple[str, str], DataFrame] = {}
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of fingerprints: derived once in a session, written in order of song length, so that the gate of a search
-    skips whole row groups."""
+    skips whole row groups. Texts are put in order, not the prints, which are several times as long."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        rows = derived(table(spark, sf_dir, "documents"))
-        _stored[key] = materialise(rows.repartitionByRange("songlen", "soid").sortWithinPartitions("songlen", "soid"), "prints")
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+        _stored[key] = materialise(derived(docs.repartitionByRange("n_chars", "doc_id").sortWithinPartitions("n_chars", "doc_id")), "prints")
     return _stored[key]
 
 
@@ -176,7 +176,7 @@ BOTH = GATED + ", hits AS (SELECT a, b, score FROM scored WHERE score > 0.6::DOU
 @query(BOTH + """ SELECT x.a, x.m, round(x.score, 9) AS score FROM both_ x WHERE NOT EXISTS
   (SELECT 1 FROM both_ y WHERE y.a = x.m AND y.m <> x.a AND y.score > 1.05::DOUBLE * x.score)""")
 def overreach_filter(spark, sf_dir):
-    hits = similarity.similarity_join(prints(spark, sf_dir))
+    hits = materialise(similarity.similarity_join(prints(spark, sf_dir)), "hits")  # read several times
     return similarity.without_overreach(hits).select("a", "m", F.round("score", 9).alias("score"))
 
 

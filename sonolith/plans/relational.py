@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedupe, similarity
+from ..storage import materialise
 from . import catalogue as prints_of
 from .registry import ORACLE_SQL, query, table
 
@@ -88,7 +89,7 @@ def metadata_lookup(spark, sf_dir):
 @query(_RESULTS + " SELECT CASE WHEN a % 2 = 0 THEN a ELSE b END AS oid1, CASE WHEN a % 2 = 0 THEN b ELSE a END AS oid2, round(cp, 9) AS cp FROM res")
 def symmetric_lookup(spark, sf_dir):
     """Results asked from either end: each pair is looked up turned round where its smaller id is odd."""
-    found = _results(spark, sf_dir)
+    found = materialise(_results(spark, sf_dir), "results")  # read three times
     even = F.col("oid1") % 2 == 0
     asked = found.select(F.when(even, F.col("oid1")).otherwise(F.col("oid2")).alias("oid1"), F.when(even, F.col("oid2")).otherwise(F.col("oid1")).alias("oid2"))
     return asked.join(dedupe.both_ways(found, "cp"), ["oid1", "oid2"]).select("oid1", "oid2", F.round("cp", 9).alias("cp"))
