@@ -36,12 +36,11 @@ _stored: dict[tuple[str, str], DataFrame] = {}
 
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of fingerprints: derived once in a session, written in order of song length, so that the gate of a search
-    skips whole row groups. Texts are put in order, not the prints, which are several times as long."""
+    """The table of fingerprints: derived once in a session and written as the documents lie. In order of song length the
+    longest would be the work of one task."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-        _stored[key] = materialise(derived(docs.repartitionByRange("n_chars", "doc_id").sortWithinPartitions("n_chars", "doc_id")), "prints")
+        _stored[key] = materialise(derived(table(spark, sf_dir, "documents")), "prints")
     return _stored[key]
 
 

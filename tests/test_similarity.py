@@ -36,3 +36,12 @@ def test_chunks_and_copies_equal_brute_force(spark, monkeypatch, rows):
     assert {(r["a"], r["b"]) for r in similarity.similarity_join(fp).collect()} == {k for k in near if k[0] < k[1]}
     assert {(r["a"], r["b"]) for r in similarity.similarity_join(fp, left=fp.where("soid % 3 = 2")).collect()} == {k for k in near if k[0] % 3 == 2}
     assert {(51, 52), (5, 48), (54, 55)} <= near.keys() and similarity.scored_pairs(fp.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["overreach_filter", "similarity_matches", "second_hop", "all_pairs_results", "symmetric_lookup", "metadata_lookup", "song_graph"])
+def test_queries_join_no_whole_prints(spark, name):
+    """Words of prints were joined to every candidate pair, in overreach_filter and second_hop for each use of the pairs."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "cprint" not in plan and "FlatMapGroupsInArrow" not in plan
