@@ -28,7 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group stays (one row of it); rows without a doc_id all stay.
 
-    Operator 10 in its form for five-word shingles (Jaccard 0.8 or more), not op10's three words and two bits."""
+    Operator 10 in its form for five-word shingles: its pigeonring index proposes what lies within two bits, min-hash keys
+    what lies further apart, and a pair counts from a Jaccard likeness of 0.8 on."""
     found = simhash.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_semi")
     again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1)

@@ -1,8 +1,9 @@
 """Near copies by the Jaccard likeness of word shingles: operator 10 for texts further apart than two bits.
 
-Texts of equal shingle sets are one class. A class has BANDS keys of ROWS min-hashes each; of two classes that share a
-key the 128-bit SimHashes must keep the pigeonring budgets of DISTANCE bits (simhash.chained), and what passes is
-compared by its whole shingle sets, so nothing below the bound is linked. A pair at likeness s shares no key with
+Texts of equal shingle sets are one class. Operator 10's pigeonring index over their 64-bit SimHashes proposes what lies
+within two bits (`ring_pairs`). For those further apart a class has BANDS keys of ROWS min-hashes each; of two classes that
+share a key the 128-bit SimHashes must keep the pigeonring budgets of DISTANCE bits (simhash.chained). What either proposes
+is compared by its whole shingle sets, so nothing below the bound is linked. A pair at likeness s shares no key with
 chance (1 - s^ROWS)^BANDS: 2.7e-5 at 0.8, less above. (A 64-bit SimHash is no index here: at 0.8 it differs in about 10
 bits, and keys that survive 12 differing bits are 5 bits wide.)
 
@@ -18,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, join_unique, materialise, partitions, pieces, runs, whole_runs
+from .common import claim_memory, discard, join_unique, materialise, partitions, pieces, runs, whole_runs
 from .components import connected, smallest
-from .simhash import chained, votes
+from .simhash import chained, fingerprint_links, votes
 
 JACCARD = 0.8
 SHINGLE = 5
@@ -61,10 +62,18 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(raw[b].tobytes(), b) for b in range(BANDS)), np.uint64, BANDS).view(np.int64)
 
 
-def _marks(docs: DataFrame, shingle: int) -> DataFrame:
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(uid, doc_id, text), written, so that a row keeps its number."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), "numbered")
+
+
+def _marks(rows: DataFrame, shingle: int) -> DataFrame:
+    """(uid, doc_id, cls, n, keys, s1, s2); texts stay behind, as a worker's way back would hold them a second time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        claim_memory(__name__, lambda: None)  # what an earlier stage's tasks left in this worker goes
         for b in pieces(batches):
             cls, size, keys, print_ = [], [], [], []
             for t in b.column(2):
@@ -75,10 +84,19 @@ def _marks(docs: DataFrame, shingle: int) -> DataFrame:
                 print_.append(votes(h))
             bits = np.array(print_, np.uint64).reshape(-1, 2).view(np.int64)
             more = [pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], ["uid", "doc_id", "text", "cls", "n", "keys", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *more], ["uid", "doc_id", "cls", "n", "keys", "s1", "s2"])
+
+    return rows.mapInArrow(run, "uid long, doc_id long, cls long, n long, keys array<long>, s1 long, s2 long")
+
 
-    slim = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return slim.mapInArrow(run, "uid long, doc_id long, text binary, cls long, n long, keys array<long>, s1 long, s2 long")
+def ring_pairs(classes: DataFrame) -> DataFrame:
+    """(uid, s1) of classes -> pairs (a, b) of uid that connect all whose SimHashes s1 differ in at most two bits: operator
+    10's index over the distinct ones, and a chain of those that share one."""
+    prints = materialise(classes.groupBy(F.col("s1").alias("fp")).agg(F.min("uid").alias("uid")), "prints")
+    near = fingerprint_links(prints.select("fp"))
+    near = near.join(prints.toDF("a", "p"), "a").join(prints.toDF("b", "q"), "b").select("p", "q")
+    equal = classes.select(F.lag("uid").over(Window.partitionBy("s1").orderBy("uid")).alias("p"), F.col("uid").alias("q")).where("p IS NOT NULL")
+    return near.unionByName(equal).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def _fits(n: np.ndarray, m: np.ndarray, jaccard: float) -> np.ndarray:
@@ -149,10 +167,11 @@ def _second(batches: Iterator[pa.RecordBatch], jaccard: float) -> Iterator[pa.Re
                 yield from _batch([(np.minimum(a, b), np.maximum(a, b))], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, marks: DataFrame, jaccard: float, shingle: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, jaccard: float, shingle: int) -> DataFrame:
     """The pairs whose whole shingle sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory(__name__, lambda: None)
         for b in pieces(batches):
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
@@ -162,7 +181,7 @@ def _verified(pairs: DataFrame, marks: DataFrame, jaccard: float, shingle: int)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    texts = materialise(marks.join(ends, "uid", "left_semi").select("uid", "text"), "texts")
+    texts = materialise(rows.join(ends, "uid", "left_semi").select("uid", "text"), "texts")
     left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return materialise(both.mapInArrow(run, "a long, b long"), "links")
@@ -175,13 +194,15 @@ def near_copies(docs: DataFrame, jaccard: float = JACCARD, shingle: int = SHINGL
     Null, empty and blank texts are one class. Rows with a null doc_id take part and get the component of their class
     (null if no member has an id). An empty table gives an empty result; other columns of docs are not read.
     """
-    marks = materialise(_marks(docs, shingle), "marks")
+    numbered = _numbered(docs)
+    marks = materialise(_marks(numbered, shingle), "marks")
     classes = materialise(marks.groupBy("cls").agg(F.min("doc_id").alias("id"), F.min("uid").alias("uid")), "classes")
-    reps = marks.select("uid", "n", "keys", "s1", "s2").join(classes.select("uid"), "uid", "left_semi")
+    reps = materialise(marks.select("uid", "n", "keys", "s1", "s2").join(classes.select("uid"), "uid", "left_semi"), "reps")
     rows = reps.select(F.explode("keys").alias("key"), "uid", "n", "s1", "s2")
     rows = rows.repartition(partitions(rows), "key").sortWithinPartitions("key")
     first = materialise(rows.mapInArrow(lambda it: _first(it, jaccard, small), "a long, b long, key long, n long"), "pairs")
-    links = _verified(materialise(first.where("b >= 0").select("a", "b").distinct(), "pairs"), marks, jaccard, shingle)
+    told = first.where("b >= 0").select("a", "b").unionByName(ring_pairs(reps.where("n > 0").select("uid", "s1")))
+    links = _verified(materialise(told.distinct(), "pairs"), numbered, jaccard, shingle)
     roots = connected(links)
     hot = first.where("b < 0").select("key", F.col("a").alias("uid"), "n")
     if not hot.isEmpty():
@@ -190,7 +211,7 @@ def near_copies(docs: DataFrame, jaccard: float = JACCARD, shingle: int = SHINGL
         left = left.repartition(partitions(left), "key").sortWithinPartitions("key")
         rest = materialise(left.select("key", "uid", "n", "comp", "s1", "s2").mapInArrow(lambda it: _second(it, jaccard), "a long, b long").distinct(), "pairs")
         if not rest.isEmpty():
-            roots = connected(links.unionByName(_verified(rest, marks, jaccard, shingle)))
+            roots = connected(links.unionByName(_verified(rest, numbered, jaccard, shingle)))
         discard(rest)
     discard(first)
     comp = smallest(classes.select(F.col("uid").alias("node"), "id"), roots).withColumnRenamed("node", "uid")

@@ -45,3 +45,16 @@ def test_chains():
         assert got[k] == some and (some or sum(v.bit_count() for v in ring) > 48)
     assert 190 <= got.sum() < 400 and len(simhash.chained(a[:0], b[:0], 48)) == 0
     assert list(nearcopies._pairs(np.arange(2), np.array([1, 9]), np.arange(2), a[:2], 0.8))[0][0].size == 0
+
+
+def test_stage_asks_the_pigeonring_index(spark, monkeypatch):
+    """Pairs within two bits come from operator 10's index; the stage calls it."""
+    rng = np.random.default_rng(12)
+    fps = [int(x) for x in rng.integers(-(2**63), 2**63, 60, np.int64)]
+    fps += [fps[k] ^ (1 << k) ^ (1 << (k + 9)) for k in range(20)] + [fps[k] ^ 7 for k in range(20, 30)] + fps[30:35]
+    got = {(r["a"], r["b"]) for r in nearcopies.ring_pairs(spark.createDataFrame(list(enumerate(fps)), "uid long, s1 long")).collect()}
+    assert got == {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 2 and b >= 60}
+    called = []
+    monkeypatch.setattr(nearcopies, "fingerprint_links", lambda *a: called.append(1) or simhash.fingerprint_links(*a))
+    docs = spark.createDataFrame([(i, f"{t} w x y z", "en", "s", 9) for i, t in enumerate("aabc")], "doc_id long, text string, lang string, source string, n_chars long")
+    assert p.simhash_dedup(spark, docs, "").count() == 3 and called
