@@ -69,7 +69,6 @@ class ChunkTokenizer:
         self.rule = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{cls['letter']}+|{cls['digit']}|{cls['other']}+")
         self.odd = re.compile(f"[^{re.escape(''.join(map(chr, range(_SAFE_END))))}]|{re.escape(self.unsafe)}" + (f"|[{re.escape(odd)}]" if odd else ""))
         self.blank = re.compile(f"[{re.escape(kinds['space'])}]+")
-        self.controls = re.compile("[\x1c-\x1f]")  # str.split() cuts at them, the library does not
         self.cache: dict[str, bytes] = {}
         self.merged: dict[str, bytes] = {}
 
@@ -112,7 +111,10 @@ class ChunkTokenizer:
         return b"".join(out)
 
     def chunks(self, text: str) -> list[str]:
-        return self.blank.split(text) if self.controls.search(text) else text.split()
+        """Pieces between white space; str.split() also cuts at \\x1c to \\x1f, the library does not."""
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # a pattern would look at every character
+            return self.blank.split(text)
+        return text.split()
 
     def _learn(self, chunks) -> dict[str, bytes]:
         if len(self.cache) > CACHE_CHUNKS:
@@ -120,9 +122,8 @@ class ChunkTokenizer:
         if len(self.merged) > CACHE_CHUNKS:
             self.merged.clear()
         cache, long = self.cache, {}
-        for c in chunks:
-            if c not in cache:
-                (cache if len(c) < 64 else long)[c] = self._chunk(c)
+        for c in set(chunks).difference(cache):
+            (cache if len(c) < 64 else long)[c] = self._chunk(c)
         return long
 
     def forget(self) -> None:
@@ -132,11 +133,11 @@ class ChunkTokenizer:
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
         chunks = self.chunks(text)
-        long = self._learn(set(chunks))
+        long = self._learn(chunks)
         cache = self.cache
         if long:
             return b"".join([cache[c] if c in cache else long[c] for c in chunks])
-        return b"".join([cache[c] for c in chunks])
+        return b"".join(map(cache.__getitem__, chunks))
 
     def count(self, text: str) -> int:
         chunks = Counter(self.chunks(text))
