@@ -9,8 +9,7 @@ bits, and keys that survive 12 differing bits are 5 bits wide.)
 
 A key of up to SMALL classes is compared pair by pair. A larger one first links each STAR members to one of them and
 those to each other; what the verified links of all keys left in different components is then compared pair by pair
-too, so a large group of near copies costs a row a member, no text is needed in many places, and no pair of a key goes
-unseen.
+too, where its key lies, so a large group costs a row a member and key, and no pair of a key goes unseen.
 """
 
 from __future__ import annotations
@@ -155,16 +154,44 @@ def _first(batches: Iterator[pa.RecordBatch], jaccard: float, small: int) -> Ite
         yield from _batch(found, ["a", "b", "key", "n"])
 
 
-def _second(batches: Iterator[pa.RecordBatch], jaccard: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, uid, n, comp, s1, s2) sorted by key -> pairs of different components."""
+def _second(batches: Iterator[pa.RecordBatch], jaccard: float, shingle: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, uid, n, comp, s1, s2, keys, text) sorted by key -> links between different components.
+
+    A pair is compared under the smallest key that it shares: if that is no large one, `_first` has compared it."""
+    claim_memory(__name__, lambda: None)
+    last = np.iinfo(np.int64).max
     for t in whole_runs(batches, 1):
         (key, uid, n, comp), print_ = _columns(t, 4)
+        keys = t.column(6).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         at = runs(key)
         for s, e in zip(at[:-1], at[1:]):
             if (comp[s:e] == comp[s]).all():
                 continue
-            for a, b in _pairs(uid[s:e], n[s:e], comp[s:e], print_[s:e], jaccard):
-                yield from _batch([(np.minimum(a, b), np.maximum(a, b))], ["a", "b"])
+            texts, known, root, found = t.column(7).slice(s, e - s), {}, {}, []
+
+            def whole(k: int) -> np.ndarray:
+                if k not in known:
+                    known[k] = shingles(texts[k].as_py(), shingle)
+                return known[k]
+
+            def top(c: int) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            for a, b in _pairs(np.arange(e - s), n[s:e], comp[s:e], print_[s:e], jaccard):
+                ok = np.where(keys[s + a] == keys[s + b], keys[s + a], last).min(axis=1, initial=last) == key[s]
+                for i, j in zip(a[ok].tolist(), b[ok].tolist()):
+                    x, y = top(int(comp[s + i])), top(int(comp[s + j]))
+                    if x == y:
+                        continue
+                    p, q = whole(i), whole(j)
+                    same = len(np.intersect1d(p, q, assume_unique=True))
+                    if same >= jaccard * (len(p) + len(q) - same) - 1e-9:
+                        root[max(x, y)] = min(x, y)
+                        found.append((min(uid[s + i], uid[s + j]), max(uid[s + i], uid[s + j])))
+            if found:
+                yield from _batch([tuple(np.array(found, np.int64).T)], ["a", "b"])
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, jaccard: float, shingle: int) -> DataFrame:
@@ -207,12 +234,12 @@ def near_copies(docs: DataFrame, jaccard: float = JACCARD, shingle: int = SHINGL
     hot = first.where("b < 0").select("key", F.col("a").alias("uid"), "n")
     if not hot.isEmpty():
         left = hot.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("comp"))
-        left = left.join(marks.select("uid", "s1", "s2"), "uid")
+        left = left.join(marks.select("uid", "s1", "s2", "keys"), "uid").join(numbered.select("uid", "text"), "uid")
         left = left.repartition(partitions(left), "key").sortWithinPartitions("key")
-        rest = materialise(left.select("key", "uid", "n", "comp", "s1", "s2").mapInArrow(lambda it: _second(it, jaccard), "a long, b long").distinct(), "pairs")
+        told = left.select("key", "uid", "n", "comp", "s1", "s2", "keys", "text").mapInArrow(lambda it: _second(it, jaccard, shingle), "a long, b long")
+        rest = materialise(told, "links")
         if not rest.isEmpty():
-            roots = connected(links.unionByName(_verified(rest, numbered, jaccard, shingle)))
-        discard(rest)
+            roots = connected(links.unionByName(rest))
     discard(first)
     comp = smallest(classes.select(F.col("uid").alias("node"), "id"), roots).withColumnRenamed("node", "uid")
     comp = materialise(classes.join(comp, "uid").select("cls", "component_id"), "components")
