@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sonolith.llm import linededup, mixing, packing, simhash
 from sonolith.llm import toxicity as toxic
-from sonolith.llm.common import materialise, table
+from sonolith.llm.common import materialise, table, with_ids
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,8 +30,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Operator 10 in its form for five-word shingles: its pigeonring index proposes what lies within two bits, min-hash keys
     what lies further apart, and a pair counts from a Jaccard likeness of 0.8 on."""
-    found = simhash.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
+    found = simhash.near_copies(docs).where("doc_id = component_id").select("doc_id")
+    kept = with_ids(docs, found, "doc_id")
     again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1)
     if not again.isEmpty():
         row = F.struct(*[F.col(c) for c in COLUMNS])

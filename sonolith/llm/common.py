@@ -82,6 +82,25 @@ def join_unique(big: DataFrame, small: DataFrame, keys: str | list[str], how: st
     return whole
 
 
+#: Words of 64 ids up to which with_ids broadcasts them (67 million ids in a row).
+ID_WORDS = 1 << 20
+
+
+def with_ids(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of big whose `key`, a long, is in ids(key); repeats and nulls in ids do no harm, null keys match nothing.
+
+    Tasks get the ids as bits, 64 a word, so big and its texts stay where they lie. Ids too far apart for that are joined
+    by a shuffle."""
+    word, bits = fresh(big, "_word", "_bits")
+    at = f"CAST(CAST(`{key}` AS BIGINT) & 63 AS INT)"
+    told = ids.where(f"`{key}` IS NOT NULL").groupBy(F.expr(f"shiftright(CAST(`{key}` AS BIGINT), 6)").alias(word))
+    words = materialise(told.agg(F.expr(f"bit_or(shiftleft(1L, {at}))").alias(bits)), "words")
+    if words.count() > ID_WORDS:
+        return big.join(ids, key, "left_semi")
+    met = big.join(F.broadcast(words), F.expr(f"shiftright(CAST(`{key}` AS BIGINT), 6)") == F.col(word))
+    return met.where(f"getbit({bits}, {at}) = 1").select(*[F.col(f"`{c}`") for c in big.columns])
+
+
 def attach(big: DataFrame, small: DataFrame, keys: str | list[str]) -> DataFrame:
     """Left join of big with small (one row a key, a written table): broadcast where it has few rows, else by join_unique."""
     if small.count() <= BROADCAST_ROWS:

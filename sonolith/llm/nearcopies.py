@@ -3,7 +3,7 @@
 Texts of equal shingle sets are one class. Operator 10's pigeonring index over their 64-bit SimHashes proposes what lies
 within two bits (`ring_pairs`). For those further apart a class has BANDS keys of ROWS min-hashes each; of two classes that
 share a key the 128-bit SimHashes must keep the pigeonring budgets of DISTANCE bits (simhash.chained). What either proposes
-is compared by its whole shingle sets, so nothing below the bound is linked. A pair at likeness s shares no key with
+is compared by its whole shingle sets, so nothing below the bound is linked; only texts of such pairs are shuffled. A pair at likeness s shares no key with
 chance (1 - s^ROWS)^BANDS: 2.7e-5 at 0.8, less above. (A 64-bit SimHash is no index here: at 0.8 it differs in about 10
 bits, and keys that survive 12 differing bits are 5 bits wide.)
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim_memory, discard, join_unique, materialise, partitions, pieces, runs, whole_runs
+from .common import claim_memory, discard, join_unique, materialise, partitions, pieces, runs, whole_runs, with_ids
 from .components import connected, smallest
 from .simhash import chained, fingerprint_links, votes
 
@@ -207,8 +207,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, jaccard: float, shingle: int) -
                 keep.append(same >= jaccard * (len(p) + len(q) - same) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    texts = materialise(rows.join(ends, "uid", "left_semi").select("uid", "text"), "texts")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("uid"))
+    texts = materialise(with_ids(rows.select("uid", "text"), ends, "uid"), "texts")
     left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return materialise(both.mapInArrow(run, "a long, b long"), "links")
@@ -234,7 +234,11 @@ def near_copies(docs: DataFrame, jaccard: float = JACCARD, shingle: int = SHINGL
     hot = first.where("b < 0").select("key", F.col("a").alias("uid"), "n")
     if not hot.isEmpty():
         left = hot.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("comp"))
-        left = left.join(marks.select("uid", "s1", "s2", "keys"), "uid").join(numbered.select("uid", "text"), "uid")
+        left = materialise(left, "left")
+        open_ = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        left = materialise(left.join(open_, "key", "left_semi"), "left")  # the rest is one component a key
+        for more in (marks.select("uid", "s1", "s2", "keys"), numbered.select("uid", "text")):
+            left = left.join(with_ids(more, left.select("uid"), "uid"), "uid")
         left = left.repartition(partitions(left), "key").sortWithinPartitions("key")
         told = left.select("key", "uid", "n", "comp", "s1", "s2", "keys", "text").mapInArrow(lambda it: _second(it, jaccard, shingle), "a long, b long")
         rest = materialise(told, "links")

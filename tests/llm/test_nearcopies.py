@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as p
-from sonolith.llm import nearcopies, simhash
+from sonolith.llm import common, nearcopies, simhash
+from tests.test_similarity import shuffled
 
 
 @pytest.mark.parametrize("small", [32, 2])
@@ -58,3 +59,29 @@ def test_stage_asks_the_pigeonring_index(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "fingerprint_links", lambda *a: called.append(1) or simhash.fingerprint_links(*a))
     docs = spark.createDataFrame([(i, f"{t} w x y z", "en", "s", 9) for i, t in enumerate("aabc")], "doc_id long, text string, lang string, source string, n_chars long")
     assert p.simhash_dedup(spark, docs, "").count() == 3 and called
+
+
+def test_stage_shuffles_few_texts(spark):
+    """All texts went through a shuffle to verify some pairs, and again to be kept, where the ids were no small table."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{k:x}" for k in rng.integers(0, 2**40, 3000)) for _ in range(120)]
+    texts += [texts[0] + " more", texts[1] + " more"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r["doc_id"] for r in p.simhash_dedup(spark, docs, "").select("doc_id").collect()} == set(range(120))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled(spark) - before < sum(map(len, texts)) / 4
+
+
+@pytest.mark.parametrize("words", [1 << 20, 0])
+def test_rows_with_ids(spark, monkeypatch, words):
+    monkeypatch.setattr(common, "ID_WORDS", words)
+    ids = [-(2**63), -65, -64, -1, 0, 1, 63, 64, 2**33 + 63, 2**63 - 1]
+    rows = [(i, k) for i in [*ids, *(x + 2 for x in ids[:-1]), None] for k in range(2)]
+    big = spark.createDataFrame(rows, "id long, _word int")
+    got = common.with_ids(big, spark.createDataFrame([(i,) for i in [*ids, 5, 0, None]], "id long"), "id")
+    assert got.columns == ["id", "_word"] and sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[0] in ids)
+    assert common.with_ids(big, spark.createDataFrame([], "id long"), "id").count() == 0
