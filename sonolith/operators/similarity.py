@@ -243,16 +243,21 @@ def scored_pairs(fp: DataFrame, share: float = MATCH_CP, left: DataFrame | None
 
     Equal prints are one class; classes are compared, and their pairs spread to the members when they are read."""
     rows = _slim(fp)
-    reps = lambda df: materialise(df.dropDuplicates(["cls"]).drop("soid"), "classes")
-    if left is None:
-        asked, cells = rows, _cells(reps(rows), None)
-    else:
-        asked = _slim(left)
-        cells = _cells(reps(asked), reps(rows))
+    return _scored(rows, _classes(rows), share, None if left is None else _slim(left))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """One print of each class of slim rows, written."""
+    return materialise(rows.dropDuplicates(["cls"]).drop("soid"), "classes")
+
+
+def _scored(rows: DataFrame, classes: DataFrame, share: float, asked: DataFrame | None = None) -> DataFrame:
+    """scored_pairs of slim rows and their classes, with themselves or with those that are asked for (slim as well)."""
+    cells = _cells(classes, None) if asked is None else _cells(_classes(asked), classes)
     links = materialise(cells.groupBy("cell", "kind", "i", "j").applyInArrow(lambda t: _compare(t, share), _LINKS), "links")
-    one, two = asked.selectExpr("cls AS a", "soid AS p"), rows.selectExpr("cls AS b", "soid AS q")
+    one, two = (rows if asked is None else asked).selectExpr("cls AS a", "soid AS p"), rows.selectExpr("cls AS b", "soid AS q")
     met = links.join(one, "a").join(two, "b").where("p <> q")
-    if left is not None:
+    if asked is not None:
         return met.select(F.col("p").alias("a"), F.col("q").alias("b"), "cp", "fm")
     equal = one.join(two, F.col("a") == F.col("b")).where("p < q").selectExpr("p AS a", "q AS b", "1D AS cp", "1D AS fm")
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "cp", "fm").unionByName(equal)
@@ -261,7 +266,11 @@ def scored_pairs(fp: DataFrame, share: float = MATCH_CP, left: DataFrame | None
 def similarity_join(fp: DataFrame, score: float = MATCH_SCORE, share: float = MATCH_CP, left: DataFrame | None = None) -> DataFrame:
     """(a, b, score) of all pairs whose blended score exceeds `score`: a < b, or a of `left` against every other print.
     share must bound the score (see schema)."""
-    found = scored_pairs(fp, share, left).select("a", "b", F.expr(scores.polynomial("cp", "fm")).alias("score"))
+    return _blended(scored_pairs(fp, share, left), score)
+
+
+def _blended(found: DataFrame, score: float) -> DataFrame:
+    found = found.select("a", "b", F.expr(scores.polynomial("cp", "fm")).alias("score"))
     return found.where(F.col("score") > score)
 
 
@@ -279,9 +288,11 @@ def probe(fp: DataFrame, queries: DataFrame, score: float = MATCH_SCORE) -> Data
 
 def second_hop(fp: DataFrame, queries: DataFrame, score: float = MATCH_SCORE) -> DataFrame:
     """(origin, soid, match, score): what matches the matches of each query, but for the query itself."""
-    first = materialise(similarity_join(fp, score, left=queries).select(F.col("a").alias("origin"), F.col("b").alias("soid")), "first")
-    hops = fp.join(first.select("soid").distinct(), "soid", "left_semi")
-    second = similarity_join(fp, score, left=hops).select(F.col("a").alias("soid"), F.col("b").alias("match"), "score")
+    rows = _slim(fp)
+    classes = _classes(rows)  # written once for both hops
+    first = materialise(_blended(_scored(rows, classes, MATCH_CP, _slim(queries)), score).select(F.col("a").alias("origin"), F.col("b").alias("soid")), "first")
+    hops = materialise(rows.join(first.select("soid").distinct(), "soid", "left_semi"), "hops")
+    second = _blended(_scored(rows, classes, MATCH_CP, hops), score).select(F.col("a").alias("soid"), F.col("b").alias("match"), "score")
     return first.join(second, "soid").where("match <> origin").select("origin", "soid", "match", "score")
 
 

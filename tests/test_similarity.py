@@ -45,3 +45,23 @@ def test_queries_join_no_whole_prints(spark, name):
 
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "cprint" not in plan and "FlatMapGroupsInArrow" not in plan
+
+
+def test_second_hop_writes_prints_once(spark, monkeypatch):
+    """Both hops wrote all prints anew, and where the first one's matches were no small table the second dealt out whole prints."""
+    some = some_prints(40, 3)
+    some += [(40 + k, *some[k][1:]) for k in range(12)] + [(52 + k, *some[k][1:]) for k in range(6)]
+    some = [(*p[:6], p[6] + words(np.random.default_rng(p[1]), 10_000)) for p in some]
+    fp = spark.createDataFrame(some, COLS)
+    written = []
+    monkeypatch.setattr(similarity, "materialise", lambda df, what, f=similarity.materialise: written.append((what, (out := f(df, what)).count())) or out)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = shuffled(spark)
+    try:
+        got = sorted((r["origin"], r["soid"], r["match"]) for r in similarity.second_hop(fp, fp.where("soid % 4 = 0")).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    near = {(a[0], b[0]) for a in some for b in some if a[0] != b[0] and brute_score(a, b) > 0.6}
+    assert got == sorted((o, s, m) for o, s in near if o % 4 == 0 for t, m in near if t == s and m != o) and got
+    assert [n for what, n in written if what == "slim"].count(len(some)) == 1
+    assert shuffled(spark) - before < 3 * 10_000 * len(some)
