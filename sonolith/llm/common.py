@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +125,22 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterato
             yield b.slice(at, rows)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2 * PIECE_ROWS) -> Iterator[None]:
+    """What is written inside hands texts to Python workers in batches of so many rows at most: an executor holds each
+    batch in its own memory, as it grows and as it is sent, and the worker holds it again."""
+    before = spark.conf.get(ARROW_ROWS)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 _claimed: list[tuple[object, Callable[[], None]]] = []
 
 

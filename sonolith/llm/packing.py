@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, pieces, small_side
+from .common import claim_memory, materialise, partitions, pieces, small_batches, small_side
 from .tokens import default_tokenizer, tokenizer
 
 WINDOW = 2048
@@ -172,7 +172,8 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
     rows = slim.mapInArrow(run, "doc_id long, source string, n long, ids binary")
-    return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "ids")
+    with small_batches(docs.sparkSession):
+        return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "ids")
 
 
 def shared_queues(tokens: list[int], weights: list[int]) -> tuple[list[int], list[int]]:
@@ -234,6 +235,7 @@ def pack(docs: DataFrame, path: str | None = None, weights: Callable[[list], lis
     cut = starts.select("doc_id", "source", "row", "queue", "at", "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory(__name__, lambda: None)  # the tokenizer's cache goes
         for b in pieces(batches, 100):
             out: list[list] = [[] for _ in range(10)]
             for doc, source, row, q, at, n, ids in zip(*(c.to_pylist() for c in b.columns)):

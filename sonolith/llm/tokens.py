@@ -2,8 +2,9 @@
 
 Offline proof: every vocabulary string that ends a word is encoded alone by the library once; those that come back as
 exactly their own id are whole tokens. At run time a text is cut at white space, which no pre-token and no merge of
-this tokenizer crosses; distinct chunks are looked up in a bounded cache; a new chunk is cut into pre-tokens, whole
-tokens give their id at once, and only the rest go through the library's merges. Chunks for which the cutting rule is
+this tokenizer crosses; distinct chunks are looked up in a bounded cache of two generations, so that frequent ones stay
+when rare ones go; a new chunk is cut into pre-tokens, whole tokens give their id at once, and only the rest go through
+the library's merges. Chunks for which the cutting rule is
 not proved equal to the library's (code points from U+0250 on, or a special string) are encoded by the library whole.
 """
 
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import claim_memory, pieces
 
 LIMIT_TOKENS = 2048
-CACHE_CHUNKS = 500_000
+#: Chunks and pre-tokens in a generation of the cache; it holds two of them, about 55 MB in all.
+CACHE_CHUNKS = 150_000
 _SAFE_END = 0x250  # below it no normal form, no combining mark and no one-to-many lower case but U+0130
 
 
@@ -69,8 +71,8 @@ class ChunkTokenizer:
         self.rule = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{cls['letter']}+|{cls['digit']}|{cls['other']}+")
         self.odd = re.compile(f"[^{re.escape(''.join(map(chr, range(_SAFE_END))))}]|{re.escape(self.unsafe)}" + (f"|[{re.escape(odd)}]" if odd else ""))
         self.blank = re.compile(f"[{re.escape(kinds['space'])}]+")
-        self.cache: dict[str, bytes] = {}
-        self.merged: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # chunks and pre-tokens: a pre-token alone is a chunk of the same ids
+        self.older: dict[str, bytes] = {}
 
     def _kind(self, c: str) -> str:
         """Class of a code point as the library's own normaliser and splitter show it."""
@@ -99,14 +101,16 @@ class ChunkTokenizer:
     def _chunk(self, chunk: str) -> bytes:
         if self.odd.search(chunk):
             return np.array(self.lib.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        whole, merged, letters, out = self.whole, self.merged, self.letters, []
+        whole, cache, older, letters, out = self.whole, self.cache, self.older, self.letters, []
         for p in self.rule.findall(chunk.lower()):
-            ids = whole.get(p) or merged.get(p)
+            ids = whole.get(p) or cache.get(p)
             if ids is None:
-                symbols = p if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode()])
-                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(symbols)])
+                ids = older.get(p)
+                if ids is None:
+                    symbols = p if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode()])
+                    ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(symbols)])
                 if len(p) < 64:
-                    merged[p] = ids
+                    cache[p] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -118,17 +122,14 @@ class ChunkTokenizer:
 
     def _learn(self, chunks) -> dict[str, bytes]:
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        if len(self.merged) > CACHE_CHUNKS:
-            self.merged.clear()
-        cache, long = self.cache, {}
+            self.older, self.cache = self.cache, {}
+        cache, older, long = self.cache, self.older, {}
         for c in set(chunks).difference(cache):
-            (cache if len(c) < 64 else long)[c] = self._chunk(c)
+            (cache if len(c) < 64 else long)[c] = older.get(c) or self._chunk(c)
         return long
 
     def forget(self) -> None:
-        self.cache.clear()
-        self.merged.clear()
+        self.cache, self.older = {}, {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
