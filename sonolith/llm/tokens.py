@@ -80,7 +80,7 @@ class ChunkTokenizer:
         cut = lambda s: [len(x[0]) for x in self.lib.pre_tokenizer.pre_tokenize_str(s)]
         if low == " " or not cut(low):
             return "space"
-        if len(low) != 1 or low != c.lower():
+        if len(low) != 1 or low != c.lower() or ord(low) >= _SAFE_END:  # the rule would not meet what it becomes
             return "odd"
         return "letter" if len(cut(f"a{low}a")) == 1 else "other" if len(cut(f"!{low}!")) == 1 else "digit"
 

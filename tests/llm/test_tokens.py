@@ -12,6 +12,13 @@ def test_ids_equal_the_library():
         assert tok.ids(text) == b"".join(i.to_bytes(4, "little") for i in ids) and tok.count(text) == len(ids)
 
 
+def test_letters_whose_lower_case_lies_beyond_the_rule():
+    tok = tokens.ChunkTokenizer(tokens.default_tokenizer())
+    for c in map(chr, range(0x300)):
+        for text in (c, f"a{c}b, x"):
+            assert tok.ids(text) == b"".join(i.to_bytes(4, "little") for i in tok.lib.encode(text, add_special_tokens=False).ids), text
+
+
 def test_cache_is_bounded_and_keeps_frequent_chunks(monkeypatch):
     tok = tokens.ChunkTokenizer(tokens.default_tokenizer())
     for k in range(0, 400_000, 1_000):
