@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import claim_memory, pieces
 
 LIMIT_TOKENS = 2048
-#: Chunks and pre-tokens in a generation of the cache; it holds two of them, about 55 MB in all.
+#: Chunks and pre-tokens in a generation of the cache, which holds two of them.
 CACHE_CHUNKS = 150_000
 _SAFE_END = 0x250  # below it no normal form, no combining mark and no one-to-many lower case but U+0130
 
